@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, substring
+from . import bpe, decontam, langid, neardup, quality, substring
 
 
 def table(spark, sf_dir: str, name: str):
@@ -18,6 +18,25 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken"):
         return bpe.parse_ranks(f.read()), public_tokenizers.PATTERN
 
 
+def fold(key: str, n: int):
+    """crc32 of the key as text, modulo ``n``; a null key counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def labelled(spark, sf_dir, label: str):
+    """Texts with their label, without the held-out fifth; labels are a column of their own name."""
+    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.where(fold("doc_id", 5) != 0).join(labels, "doc_id")
+
+
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(fold("doc_id", 3) != 1))
+    found = langid.predict(docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "language.lang_pred", "language.score", "language.rejected")
+
+
 def op5_bpe(spark, sf_dir):
     ranks, pattern = tokenizer()
     return bpe.digest(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -38,10 +57,25 @@ def op8_decontamination(spark, sf_dir):
     )
 
 
+def op9_near_dedup(spark, sf_dir):
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op10_quality(spark, sf_dir):
+    model = quality.train(labelled(spark, sf_dir, "quality"), "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score")
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op5_bpe": op5_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
