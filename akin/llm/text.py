@@ -71,18 +71,24 @@ class Words:
     hash: np.ndarray
     doc: np.ndarray  #: index of the text of each word
     first: np.ndarray  #: index of each text's first word; one more entry than texts
+    beginnings: list[tuple[np.ndarray, np.ndarray]]  #: by length asked for: word, and hash of so many characters of it
 
     def __len__(self) -> int:
         return len(self.start)
 
 
-def words_of(texts: list[bytes], table: np.ndarray = NON_SPACE, lower: bool = False, which: int = 0) -> Words:
-    """Words (maximal runs of bytes in ``table``) of ``texts``; a line feed is never a word byte."""
+def words_of(texts: list[bytes], table: np.ndarray = NON_SPACE, lower: bool = False, which: int = 0, beginnings: tuple[int, ...] = ()) -> Words:
+    """Words (maximal runs of bytes in ``table``) of ``texts``; a line feed is never a word byte.
+
+    ``beginnings``: lengths in UTF-8 characters of word beginnings to hash, of longer words only.
+    """
     data = b"\n".join(texts) + b"\n"
     if lower:
         data = data.translate(LOWER_ASCII)
     array = np.frombuffer(data, np.uint8)
     starts, ends, hashes, at, n = [], [], [], 0, len(array)
+    short: list[tuple[list, list]] = [([], []) for _ in beginnings]
+    words = 0
     while at < n:
         stop = min(n, at + PIECE)
         while stop < n and table[array[stop - 1]]:
@@ -97,6 +103,16 @@ def words_of(texts: list[bytes], table: np.ndarray = NON_SPACE, lower: bool = Fa
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
         hashes.append(mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)))
+        if beginnings:
+            character = np.flatnonzero((piece & 0xC0) != 0x80)  # where characters begin
+            own = np.searchsorted(character, s)
+            for length, (which_word, value) in zip(beginnings, short, strict=True):
+                stop_at = np.r_[character, np.full(length + 1, len(piece))][own + length]
+                longer = np.flatnonzero(stop_at < e)
+                b, f = s[longer], stop_at[longer]
+                which_word.append(longer + words)
+                value.append(mix((total[f] - total[b]) * inverse[b] + np.uint64(length << 32)))
+            words += len(s)
         starts.append(s + at)
         ends.append(e + at)
         at = stop
@@ -105,7 +121,7 @@ def words_of(texts: list[bytes], table: np.ndarray = NON_SPACE, lower: bool = Fa
     bounds = np.r_[0, np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))]
     first = np.searchsorted(start, bounds)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    return Words(data, start, join(ends, np.int64), join(hashes, np.uint64), doc, first)
+    return Words(data, start, join(ends, np.int64), join(hashes, np.uint64), doc, first, [(join(i, np.int64), join(h, np.uint64)) for i, h in short])
 
 
 def rolling(values: np.ndarray, k: int, which: int = 1) -> np.ndarray:
