@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, substring
+from . import ann, bpe, decontam, langid, licenses, neardup, quality, substring, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -37,6 +37,22 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", "language.lang_pred", "language.score", "language.rejected")
 
 
+def op2_toxicity(spark, sf_dir):
+    model = toxicity.train(labelled(spark, sf_dir, "toxic"), "toxic")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "toxicity.score")
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark, sf_dir):
+    found = ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op5_bpe(spark, sf_dir):
     ranks, pattern = tokenizer()
     return bpe.digest(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -71,6 +87,9 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
+    "op4_nearest": op4_nearest,
     "op5_bpe": op5_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
