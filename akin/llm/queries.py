@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, licenses, neardup, quality, substring, toxicity
+from . import ann, bpe, decontam, langid, licenses, linededup, neardup, quality, substring, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -58,6 +58,12 @@ def op5_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
+def op6_line_dedup(spark, sf_dir):
+    found = linededup.remove_common_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return found.select("doc_id", F.col("removed_lines").cast("long").alias("n_removed"), digest.alias("kept_sha256"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     found = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -91,6 +97,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_nearest": op4_nearest,
     "op5_bpe": op5_bpe,
+    "op6_line_dedup": op6_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
