@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from .text import checkpointed
 
 #: Rows of one or two longs that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Edges that one task may join by itself; more are joined by rounds of the whole cluster.
+TASK_EDGES = 200_000
 
 
 def sized(side: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,13 +22,35 @@ def sized(side: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
     return F.broadcast(side) if n <= limit else side
 
 
-def components(spark, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    over: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := over.setdefault(x, x)) != x:
+            over[x] = over[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            over[max(x, y)] = min(x, y)
+    nodes = list(over)
+    for at in range(0, len(nodes), 50_000):
+        own = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([top(x) for x in own], pa.int64())], ["node", "root"])
+
+
+def components(spark, edges: DataFrame, rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """``(node, root)`` for every node of the edges ``(a, b)``; root is the smallest node of its component.
 
-    Alternates large-star and small-star steps, whose edge count never grows and which end
-    after a logarithmic number of rounds. Each round's edges are checkpointed.
+    Few edges (counted, ``task_edges``) are joined by one task. More go through alternating
+    large-star and small-star steps, whose edge count never grows and which end after a
+    logarithmic number of rounds; each round's edges are checkpointed.
     """
-    edges = checkpointed(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = checkpointed(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    if edges.count() <= task_edges:
+        return edges.coalesce(1).mapInArrow(_joined_in_task, "node long, root long")
     before = None
     for _ in range(rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))

@@ -9,14 +9,15 @@ similarity. Bands of coordinates are joined; every candidate is verified exactly
 
 Scale: texts with the same words are one node, so a group of copies of any size is a single
 row before banding. In each band bucket the members are first compared with the bucket's
-smallest id only, a linear number of pairs. After the components of these links, only members
-of different components that share a bucket are compared, so no link between components is
-lost although no bucket is expanded into all its pairs once it has grown together. Shingle
-profiles are made for candidates only. Components are found by Spark (large-star and
+smallest id only, then (in rounds) those outside its largest component with one member of it: a
+linear number of pairs. What is still apart in a bucket is compared in full, block against
+block, and gives at most the links that join components; so no link between components is
+lost although no bucket is expanded into all its pairs. Shingle profiles are made for
+candidates only. Components are found by Spark (large-star and
 small-star); neither links nor components come to the driver.
 
-Cases: a text of one to four words is one shingle. A null text or one without a word is a
-class of its own. Rows that share an id fall in one class and give one row.
+Cases: a text of one to four words is one shingle. Texts without a word are in one class if
+they are equal; a null text is a class of its own. Rows that share an id fall in one class and give one row.
 Further columns are not read.
 """
 
@@ -34,6 +35,8 @@ from .graphs import components, sized
 from .text import ALNUM_HIGH, checkpointed, chunks, mix, rolling, starts_inside, words_of
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+#: Rounds that try members against one member of their bucket's largest component; members in a block.
+HUB_ROUNDS, BLOCK = 1, 128
 _LOW48 = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,11 +101,14 @@ def _signing(shingle: int, bands: int, rows: int):
         for _, texts, part in chunks(batches):
             doc, cell, first, words = cells_of(texts, shingle)
             keys = band_keys(darts(doc, cell, np.diff(first), bands * rows), bands, rows).view(np.int64)
-            digests = [hashlib.blake2b(words.hash[a:b].tobytes(), digest_size=16).digest() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            some = np.diff(first) > 0
+            some, present = np.diff(first) > 0, part.column(1).is_valid().to_pylist()
+            digests = [
+                hashlib.blake2b(words.hash[a:b].tobytes() if b > a else b"\0" + text, digest_size=16).digest() if here else None
+                for a, b, text, here in zip(words.first[:-1], words.first[1:], texts, present, strict=True)
+            ]
             offsets = pa.array(np.r_[0, np.cumsum(np.where(some, bands, 0))], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([d if s else None for d, s in zip(digests, some, strict=True)], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys[some].reshape(-1)))],
+                [part.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys[some].reshape(-1)))],
                 ["id", "digest", "keys"],
             )
 
@@ -143,6 +149,75 @@ def _verifying(threshold: float):
     return run
 
 
+def _linking(threshold: float):
+    """Links that join different components of two blocks of members, at most one for each component joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (nodes, roots, left), (others, tops, right) = _members(batch.column(0)[k].values), _members(batch.column(1)[k].values)
+                common = _common(left, right)
+                n, m = np.array([len(c) for c in left]), np.array([len(c) for c in right])
+                alike = common >= threshold * (n[:, None] + m[None] - common) - 1e-9
+                over: dict[int, int] = {}
+
+                def top(x: int, over=over) -> int:
+                    while over.get(x, x) != x:
+                        x = over[x]
+                    return x
+
+                found = []
+                for i, j in np.argwhere(alike & (roots[:, None] != tops[None])).tolist():
+                    a, b = top(int(roots[i])), top(int(tops[j]))
+                    if a != b and common[i, j] / max(1, n[i] + m[j] - common[i, j]) >= threshold:
+                        over[max(a, b)] = min(a, b)
+                        found.append((int(nodes[i]), int(others[j])))
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _members(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return block.field("node").to_numpy(), block.field("root").to_numpy(), [_wide(c) for c in block.field("cells").to_pylist()]
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], slab: int = 4096) -> np.ndarray:
+    """Cells that each left member shares with each right one; a slab of the cells on both sides at a time."""
+    ours, theirs = np.concatenate(left), np.concatenate(right)
+    cells = np.intersect1d(ours, theirs)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(cells):
+        return out
+    sides = []
+    for parts, every in ((left, ours), (right, theirs)):
+        member = np.repeat(np.arange(len(parts)), [len(c) for c in parts])
+        at = np.minimum(np.searchsorted(cells, every), len(cells) - 1)
+        held = cells[at] == every
+        order = np.argsort(at[held], kind="stable")
+        sides.append((member[held][order], at[held][order]))
+    for low in range(0, len(cells), slab):
+        grids = []
+        for parts, (member, at) in zip((left, right), sides, strict=True):
+            a, b = np.searchsorted(at, [low, low + slab])
+            grid = np.zeros((len(parts), slab), np.float32)
+            grid[member[a:b], at[a:b] - low] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(key, node, root, hub)`` of the buckets that hold several components; hub is the one with most members."""
+    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    hubs = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("hub"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return placed.join(hubs.select("key", "hub"), "key")
+
+
+def _joined(spark, roots: DataFrame, links: DataFrame) -> DataFrame:
+    return checkpointed(spark, components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(links)))
+
+
 def classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -168,16 +243,27 @@ def classes(
 
     links = checkpointed(spark, verified(pairs))
     roots = checkpointed(spark, components(spark, links))
-    # Members of different components that share a bucket; pairs with the bucket's lead are settled already.
-    placed = shared.where("n > 2").join(roots, shared["node"] == roots["node"], "left").select("key", shared["node"], "lead", F.coalesce("root", shared["node"]).alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = checkpointed(spark, placed.where("node <> lead").join(mixed, "key"))
-    left, right = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    more = left.join(right, "key").where("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = checkpointed(spark, verified(checkpointed(spark, more)))
-    if not more.isEmpty():
-        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more)
-        roots = checkpointed(spark, components(spark, edges))
+    several = checkpointed(spark, shared.where("n > 2").select("key", "node"))
+    for turn in range(HUB_ROUNDS):
+        mixed = _mixed(several, roots)
+        hubs = mixed.where("root = hub").groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
+        tries = mixed.where("root <> hub").join(hubs, "key").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        more = checkpointed(spark, verified(checkpointed(spark, tries.distinct())))
+        if more.isEmpty():
+            break
+        roots = _joined(spark, roots, more)
+    # What is still apart in a bucket is compared in full, block by block.
+    rest = checkpointed(spark, _mixed(several, roots).select("key", "node", "root"))
+    if not rest.isEmpty():
+        counted = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        parts = rest.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        parts = parts.join(profiles, parts["node"] == profiles["id"]).select("key", "block", F.struct("node", "root", "cells").alias("member"))
+        parts = checkpointed(spark, parts.groupBy("key", "block").agg(F.collect_list("member").alias("members")))
+        left, right = parts.select("key", F.col("block").alias("i"), F.col("members").alias("left")), parts.select("key", F.col("block").alias("j"), F.col("members").alias("right"))
+        more = left.join(right, "key").where("i <= j").select("left", "right").mapInArrow(_linking(threshold), "a long, b long")
+        more = checkpointed(spark, more.distinct())
+        if not more.isEmpty():
+            roots = _joined(spark, roots, more)
     ids = signed.groupBy("id").agg(F.max("digest").alias("digest"))
     found = ids.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
     return found.select(F.col("id").alias(id_col), F.coalesce("root", "node", "id").alias("class_id"))
