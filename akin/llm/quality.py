@@ -183,7 +183,7 @@ class AdditiveModel:
 def sample_of(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """At most about ``rows`` rows, by a hash of the key; all rows if there are no more than that."""
     total = df.count()
-    return df if total <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(rows / total * (1 << 20)))
+    return df if total <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(0.98 * rows / total * (1 << 20)))
 
 
 def train(labelled: DataFrame, label_col: str, key_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, model: AdditiveModel | None = None) -> AdditiveModel:

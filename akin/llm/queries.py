@@ -23,11 +23,15 @@ def fold(key: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def labelled(spark, sf_dir, label: str):
-    """Texts with their label, without the held-out fifth; labels are a column of their own name."""
-    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.where(fold("doc_id", 5) != 0).join(labels, "doc_id")
+def labelled(spark, sf_dir, label: str, rows: int):
+    """Texts with their label, without the held-out fifth: all of them, or about ``rows``.
+
+    The sample is drawn from the labels before their texts are met, so what is broadcast has
+    ``rows`` rows and no text is shuffled.
+    """
+    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & (fold("doc_id", 5) != 0))
+    labels = quality.sample_of(labels.groupBy("doc_id").agg(F.max(label).alias(label)), F.col("doc_id"), rows)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id")
 
 
 def op1_language_id(spark, sf_dir):
@@ -38,7 +42,7 @@ def op1_language_id(spark, sf_dir):
 
 
 def op2_toxicity(spark, sf_dir):
-    model = toxicity.train(labelled(spark, sf_dir, "toxic"), "toxic")
+    model = toxicity.train(labelled(spark, sf_dir, "toxic", toxicity.SAMPLE_ROWS), "toxic")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "toxicity.score")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -85,7 +89,7 @@ def op9_near_dedup(spark, sf_dir):
 
 
 def op10_quality(spark, sf_dir):
-    model = quality.train(labelled(spark, sf_dir, "quality"), "quality")
+    model = quality.train(labelled(spark, sf_dir, "quality", quality.SAMPLE_ROWS), "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score")
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import sample_of
-from .text import ALNUM_HIGH, chunks, words_of
+from .text import ALNUM_HIGH, checkpointed, chunks, words_of
 
 SAMPLE_ROWS, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 20_000, 15, 64
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
@@ -188,7 +188,7 @@ def train(
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull())
     rows = sample_of(rows, F.col(key_col), sample_rows)
-    rows = rows.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
+    rows = checkpointed(spark, rows.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts, part in chunks(batches):
