@@ -195,7 +195,7 @@ def train(labelled: DataFrame, label_col: str, key_col: str = "doc_id", text_col
 
     rows = sample_of(labelled.where(F.col(label_col).isNotNull()), F.col(key_col), sample_rows)
     found = rows.select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text")).mapInArrow(measure, "y int, x array<float>").toArrow()
-    x = np.array(found.column("x").to_pylist(), np.float32).reshape(found.num_rows, -1)
+    x = np.array(found.column("x").to_pylist(), np.float32).reshape(found.num_rows, len(FEATURES))
     y = found.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y)) if len(y) else slice(0)  # sums then don't depend on the rows' order
     return (model or AdditiveModel()).fit(x[order], y[order])
