@@ -9,8 +9,20 @@ import zipfile
 _shipped: set[str] = set()
 
 
-def ship(spark) -> None:
-    """Give the executors this package's code, once an application; needed where it isn't installed there."""
+#: Bytes of an Arrow batch between JVM and Python, where the session keeps Spark's 64 MB.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
+def prepare(spark) -> None:
+    """Give the executors this package's code, once an application, and bound Arrow batches.
+
+    The code is needed where the package isn't installed on executors. Long texts make batches
+    of ten thousand rows large, and each is held by the JVM and by Python; a session that sets
+    the limit itself keeps its own.
+    """
+    key, usual, own = BATCH
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, own)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
