@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import tempfile
 import zipfile
 
+#: The root names and where they live; modules are loaded when a name is first asked for.
+_NAMES = {
+    "create_scorer": "operators.scorer", "is_match": "operators.scorer", "score_if_match": "operators.scorer", "Scorer": "operators.scorer",
+    "normalize_text": "functions.expressions", "tokens": "functions.expressions",
+    "search": "operators.search", "best_match": "operators.search", "search_iter": "operators.search", "create_matcher": "operators.search",
+    "create_indexed_matcher": "operators.search", "prepare_choices": "operators.search", "matched": "operators.search",
+    "score_matrix": "operators.batch", "score_pairs": "operators.batch", "Editops": "operators.editops", "Opcodes": "operators.editops",
+    **{name: "functions.metrics" for name in (
+        "levenshtein", "indel", "lcs", "osa", "damerau_levenshtein", "hamming", "jaro", "jaro_winkler", "prefix", "postfix", "dice", "cosine", "tversky",
+        "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "token_ratio", "partial_token_sort_ratio", "partial_token_set_ratio", "partial_token_ratio", "weighted_ratio",
+    )},
+}
 _shipped: set[str] = set()
 
 
+def __getattr__(name: str):
+    if name in _NAMES:
+        return getattr(importlib.import_module(f"{__name__}.{_NAMES[name]}"), name)
+    raise AttributeError(name)
+
+
+def __dir__() -> list[str]:
+    return sorted([*globals(), *_NAMES])
+
+
 #: Bytes of an Arrow batch between JVM and Python, where the session keeps Spark's 64 MB.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 

@@ -226,8 +226,12 @@ FAMILIES = (levenshtein, indel, lcs, osa, damerau_levenshtein, hamming, jaro, ja
 FUZZ = (ratio, partial_ratio, token_sort_ratio, token_set_ratio, token_ratio, partial_token_sort_ratio, partial_token_set_ratio, partial_token_ratio, weighted_ratio)
 
 
-def kernel_column(kernel: Callable, config: dict, left: Column, right: Column, missing: float | None) -> Column:
-    """Scores by an Arrow UDF; equal pairs of a batch are scored once. ``missing``: score where a side is null, None to fail."""
+def kernel_column(kernel: Callable, config: dict, left: Column, right: Column, missing: float | None, once: bool = False) -> Column:
+    """Scores by an Arrow UDF; equal pairs of a batch are scored once. ``missing``: score where a side is null, None to fail.
+
+    ``once`` keeps a later filter on the score from being pushed below it, which would score
+    every pair a second time; such a column can't be an argument of an aggregate.
+    """
 
     @F.arrow_udf(DoubleType())
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -249,4 +253,4 @@ def kernel_column(kernel: Callable, config: dict, left: Column, right: Column, m
                 out.append(score)
             yield pa.array(out, pa.float64())
 
-    return run(left, right)
+    return (run.asNondeterministic() if once else run)(left, right)

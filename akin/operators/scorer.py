@@ -57,8 +57,8 @@ class Scorer:
             raise ValueError(f"a custom score must lie within {self.bounds}: {score}")
         return score
 
-    def column(self, left: Column, right: Column, threshold: float | None = None) -> Column:
-        """A column of scores; with a threshold, null where it isn't met."""
+    def column(self, left: Column, right: Column, threshold: float | None = None, once: bool = False) -> Column:
+        """A column of scores; with a threshold, null where it isn't met. ``once``: see ``kernel_column``."""
         threshold = T.checked(threshold)
         if T.impossible(self.direction, self.bounds, threshold):
             return F.lit(None).cast("double")
@@ -70,7 +70,7 @@ class Scorer:
                 found = F.when(left.isNull() | right.isNull(), absent).otherwise(found)
         if found is None:
             kernel, config = (self.metric.kernel, dict(self.config)) if self.metric is not None else (lambda a, b: self._within(self.function(a, b)), {})
-            found = kernel_column(kernel, config, left, right, self._missing_score)
+            found = kernel_column(kernel, config, left, right, self._missing_score, once)
         return found if T.needless(self.direction, self.bounds, threshold) else F.when(T.qualifies(self.direction, found, threshold), found)
 
     def explain(self, left, right) -> dict:

@@ -37,6 +37,36 @@ def prepared(choices: DataFrame, key: str = "key", text: str | Column = "text",
     return rows.withColumn("text", F.when(F.col("item").isNull(), F.raise_error(F.lit("a choice is missing")).cast(rows.schema["text"].dataType)).otherwise(F.col("text")))
 
 
+@dataclass(frozen=True)
+class PreparedChoices:
+    """Choices prepared by one scorer and normaliser, for that scorer and normaliser only."""
+
+    rows: DataFrame
+    scorer: Scorer
+    normalize: Normalize = None
+
+    def checked(self, scorer: Scorer, normalize: Normalize, given: dict) -> DataFrame:
+        if scorer != self.scorer:
+            raise ValueError("the choices were prepared by another scorer")
+        if normalize is not self.normalize:
+            raise ValueError("the choices were prepared with another normalizer")
+        if given:
+            raise TypeError(f"prepared choices take no {', '.join(sorted(given))}")
+        return self.rows
+
+
+def prepare_choices(choices: DataFrame, scorer: Scorer, key: str = "key", text: str | Column = "text", order: str | None = None, normalize: Normalize = None, missing_items: str = "skip") -> PreparedChoices:
+    """Choices to be given to several matchers of the same scorer; cached on first use."""
+    return PreparedChoices(prepared(choices, key, text, order, normalize, missing_items).cache(), scorer, normalize)
+
+
+def _rows(choices, scorer: Scorer, normalize: Normalize, options: dict, cache: bool) -> DataFrame:
+    if isinstance(choices, PreparedChoices):
+        return choices.checked(scorer, normalize, options)
+    rows = prepared(choices, normalize=normalize, **options)
+    return rows.cache() if cache else rows
+
+
 def _questions(query, spark, normalize: Normalize, query_key: str, query_text: str) -> DataFrame:
     """``(q, query)``; one text is one row with id 0."""
     if isinstance(query, DataFrame):
@@ -74,7 +104,7 @@ def similarity_join(questions: DataFrame, choices: DataFrame, scorer: Scorer, th
             pairs = asked.crossJoin(texts)
             bound = threshold is not None and length_bound(scorer.name, dict(scorer.config), threshold, _length("query", pairs.schema), _length("text", pairs.schema))
             pairs = pairs.where(bound) if isinstance(bound, Column) else pairs
-        scored = pairs.withColumn("score", scorer.column(F.col("query"), F.col("text"), threshold)).where("score is not null")
+        scored = pairs.withColumn("score", scorer.column(F.col("query"), F.col("text"), threshold, once=True)).where("score is not null")
     found = questions.join(scored, "query").join(choices.drop("item"), "text").select("q", "key", "ord", "score")
     absent = questions.where("query is null").select("q")
     if scorer.direction == SIMILARITY and scorer.missing == "compatible":
@@ -188,15 +218,14 @@ class IndexedMatcher(Matcher):
         return scored.join(self.choices.select(F.col("key").alias("c"), F.col("key"), "ord"), "c").select("q", "key", "ord", "score")
 
 
-def create_matcher(choices: DataFrame, scorer: Scorer, key: str = "key", text: str | Column = "text", order: str | None = None, normalize: Normalize = None, missing_items: str = "skip", cache: bool = False) -> Matcher:
-    rows = prepared(choices, key, text, order, normalize, missing_items)
-    return Matcher(rows.cache() if cache else rows, scorer, normalize)
+def create_matcher(choices: DataFrame | PreparedChoices, scorer: Scorer, normalize: Normalize = None, cache: bool = False, **options) -> Matcher:
+    """``options``: key, text, order, missing_items of :func:`prepared`."""
+    return Matcher(_rows(choices, scorer, normalize, options, cache), scorer, normalize)
 
 
-def create_indexed_matcher(choices: DataFrame, scorer: Scorer, key: str = "key", text: str | Column = "text", order: str | None = None, normalize: Normalize = None, missing_items: str = "skip", cache: bool = False) -> Matcher:
+def create_indexed_matcher(choices: DataFrame | PreparedChoices, scorer: Scorer, normalize: Normalize = None, cache: bool = False, **options) -> Matcher:
     """Needs a similarity of dice, cosine or tversky; soft Tversky goes by token candidates."""
-    rows = prepared(choices, key, text, order, normalize, missing_items)
-    rows = rows.cache() if cache else rows
+    rows = _rows(choices, scorer, normalize, options, cache)
     if scorer.name == "tversky.similarity" and "element_similarity" in dict(scorer.config):
         from .soft import SoftIndexedMatcher
 

@@ -65,5 +65,5 @@ class SoftIndexedMatcher(Matcher):
         bare_q, bare_c = questions.where((F.size("query") == 0) | ~priced("query")).select("q"), self.choices.where((F.size("text") == 0) | ~priced("text")).select("key")
         found = found.unionByName(bare_q.crossJoin(bare_c)).distinct()
         pairs = found.join(questions, "q").join(self.choices, "key")
-        score = kernel_column(self.scorer.metric.kernel, config, F.col("query"), F.col("text"), 0.0)
+        score = kernel_column(self.scorer.metric.kernel, config, F.col("query"), F.col("text"), 0.0, once=True)
         return pairs.select("q", "key", "ord", score.alias("score")).where(F.col("score") >= threshold)

@@ -6,6 +6,7 @@ joining back is how the engine treats repeated texts); searches run over whole t
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -607,6 +608,8 @@ def _shared_folder(spark) -> str:
     """The cluster's shared folder; a private one only where none is set."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="akin-stream-")

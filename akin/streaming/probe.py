@@ -29,7 +29,7 @@ def probe(stream: DataFrame, choices: DataFrame, scorer: Scorer, threshold: floa
         joined = stream.join(side, on)
     else:
         joined = stream.crossJoin(side)
-    score = scorer.column(F.col(text), F.col("choice_text"), threshold)
+    score = scorer.column(F.col(text), F.col("choice_text"), threshold, once=True)
     found = joined.withColumn("score", score).where("score is not null")
     return found.select(*stream.columns, F.col("choice_key").alias("key"), "score")
 

@@ -148,6 +148,21 @@ def test_soft_index_equals_scan(spark):
             assert math.isclose(r.e.score, scorer.explain(r["query"], ["swisscom", "bank"])["score"])
 
 
+def test_prepared_choices(spark):
+    import akin
+
+    ratio, items = create_scorer(M.ratio), from_values(spark, TEAMS)
+    ready = akin.prepare_choices(items, ratio, order="ord", normalize=E.normalize_text)
+    assert akin.create_matcher(ready, ratio, E.normalize_text).best("NEW york jets").first().key == 1
+    for scorer, normalize in ((create_scorer(M.partial_ratio), E.normalize_text), (ratio, None)):
+        with pytest.raises(ValueError, match="another"):
+            akin.create_matcher(ready, scorer, normalize)
+    with pytest.raises(TypeError, match="order"):
+        akin.create_matcher(ready, ratio, E.normalize_text, order="ord")
+    assert akin.ratio is M.ratio and "levenshtein" in dir(akin)
+    ready.rows.unpersist()
+
+
 def test_containment(spark):
     items = spark.createDataFrame([(1, "a b c"), (2, "b a"), (3, "x"), (4, "")], "key long, text string")
     asked = spark.createDataFrame([(1, "b  a a"), (2, "x y")], "q long, query string")
