@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .text import chunks, mix
 
 ORDER, SPACE = 4, 0x20
+CHUNK = 2 << 20
 MAX_GRAMS, CALIBRATION_ROWS = 1_000_000, 4_000
 RESULT = "lang_pred string, score double, rejected boolean, cross_entropy double"
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
@@ -90,7 +91,7 @@ def count_grams(df: DataFrame, lang: Column, text: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for langs, texts, _ in chunks(batches):
+        for langs, texts, _ in chunks(batches, CHUNK):
             langs = np.array(langs, object)
             for name in set(langs.tolist()):
                 own = grams_of([t for t, l in zip(texts, langs, strict=True) if l == name]).packed
@@ -220,8 +221,8 @@ class Model:
         grams = grams_of(texts)
         n = np.diff(grams.first)
         total = np.zeros((len(texts), len(self.langs)))
-        for at in range(0, len(grams.packed), 1 << 18):
-            end = min(len(grams.packed), at + (1 << 18))
+        for at in range(0, len(grams.packed), 1 << 17):
+            end = min(len(grams.packed), at + (1 << 17))
             part = self.log_probability(grams.packed[at:end])
             a, b = np.searchsorted(grams.first, at, "right") - 1, np.searchsorted(grams.first, end, "left")
             own = np.arange(a, b)
@@ -275,7 +276,7 @@ def train(
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, texts, _ in chunks(batches):
+        for names, texts, _ in chunks(batches, CHUNK):
             entropy, length, _ = shared.value.cross_entropy(texts)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(length)], ["lang", "e", "n"])
 
@@ -302,7 +303,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", into: st
 
 def _parts(batch: pa.Array) -> Iterator[list[bytes]]:
     numbered = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch], ["id", "text"])
-    for _, texts, _ in chunks([numbered]):
+    for _, texts, _ in chunks([numbered], CHUNK):
         yield texts
 
 

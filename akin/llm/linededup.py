@@ -146,6 +146,9 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+_without = _without.asNondeterministic()  # else a filter on the new text would have it made twice
+
+
 def remove_common_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_chars: int = MIN_CHARS, into: str = "removed_lines") -> DataFrame:
     """The rows with shortened texts, and ``into``: how many lines each lost."""
     gone = checkpointed(df.sparkSession, deletions(df, id_col, text_col, rare, min_chars))
