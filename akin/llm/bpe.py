@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's memory of encoded pieces; past it the memory starts anew.
-MAX_CACHE = 800_000
+#: Encoded pieces that a Python worker remembers, and twice as many as pairs of tokens.
+MAX_CACHE = 600_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -45,32 +45,63 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """Encoding by repeated merging of the lowest-ranked neighbours; used to judge token pairs."""
+        #: The two tokens whose merge made each token; a single byte's are itself.
+        self.halves = {i: self._halves(i, t) for i, t in self.tokens.items()}
+        self._judged: dict[int, bool] = {}
+
+    def _halves(self, token: int, data: bytes) -> tuple[int, int]:
+        if len(data) == 1:
+            return token, token
+        parts = self.merged(data, token)
+        return (parts[0], parts[1]) if len(parts) == 2 else (token, token)
+
+    def merged(self, data: bytes, below: int | None = None) -> list[int]:
+        """Encoding by repeated merging of the lowest-ranked neighbours (of ranks under ``below``)."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            best, at = None, -1
+            best, at = below, -1
             for i in range(len(parts) - 1):
                 rank = self.ranks.get(parts[i] + parts[i + 1])
                 if rank is not None and (best is None or rank < best):
                     best, at = rank, i
-            if best is None:
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_judged": {}}
+
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the two tokens' bytes together encode as just these two tokens."""
-        known = self._pairs.get((left, right))
+        """:meth:`judge`, remembered."""
+        pair = left << 20 | right
+        known = self._judged.get(pair)
         if known is None:
-            if len(self._pairs) >= 4 * MAX_CACHE:
-                self._pairs.clear()
-            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self._pairs[left, right] = known
+            if len(self._judged) >= MAX_CACHE // 2:
+                self._judged.clear()
+            known = self._judged[pair] = self.judge(left, right)
         return known
 
+    def judge(self, left: int, right: int) -> bool:
+        """Whether the two tokens' bytes together encode as just these two tokens.
+
+        Merges are undone latest first, always of the side that touches the border. At each
+        step the border's neighbours must not have merged before the merge just undone.
+        """
+        ranks, tokens, halves = self.ranks, self.tokens, self.halves
+        limit = None
+        while True:
+            across = ranks.get(tokens[left] + tokens[right])
+            if across is not None and (limit is None or across < limit):
+                return False
+            left_half, right_half = halves[left][1], halves[right][0]
+            if left_half != left and (left > right or right_half == right):
+                limit, left = left, left_half
+            elif right_half != right:
+                limit, right = right + 1, right_half
+            else:
+                return True
+
 
 class PrefixEncoder:
     """The last token of every prefix of a byte string that can grow and be edited."""
@@ -84,11 +115,11 @@ class PrefixEncoder:
     def append(self, more: bytes) -> PrefixEncoder:
         """Add bytes; stored tokens of shorter prefixes stay as they are."""
         v, data, last = self.vocabulary, self.data + more, self.last
-        ranks, tokens = v.ranks, v.tokens
+        find, judged, longest = v.ranks.get, v._judged.get, v.longest
         for end in range(len(self.data) + 1, len(data) + 1):
-            for begin in range(max(0, end - v.longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None and (begin == 0 or v.may_follow(last[begin - 1], token)):
+            for begin in range(end - longest if end > longest else 0, end):
+                token = find(data[begin:end])
+                if token is not None and (begin == 0 or judged(last[begin - 1] << 20 | token) or v.may_follow(last[begin - 1], token)):
                     last.append(token)
                     break
             else:  # a single byte may always stand alone in a proper vocabulary
@@ -131,43 +162,52 @@ class PrefixEncoder:
 class Codec:
     """Encodes and decodes whole texts; each match of ``pattern`` is encoded separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.vocabulary = Vocabulary(ranks)
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary, self.pattern = vocabulary, pattern
         self.find = regex.compile(pattern).findall
         self._seen: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Tokens of one match; a match that is itself a token is that token, as the rank format defines."""
+        found = self._older.get(text)
+        if found is not None:
+            self._remember(text, found)
+            return found
         data = text.encode()
         whole = self.vocabulary.ranks.get(data)
         found = (whole,) if whole is not None else tuple(PrefixEncoder(self.vocabulary, data).tokens())
         if len(data) <= 64:
-            if len(self._seen) >= MAX_CACHE:
-                self._seen.clear()
-            self._seen[text] = found
+            self._remember(text, found)
         return found
 
+    def _remember(self, text: str, found: tuple[int, ...]) -> None:
+        """Two generations: what is asked for again survives when the older one goes."""
+        if len(self._seen) >= MAX_CACHE // 2:
+            self._older, self._seen = self._seen, {}
+        self._seen[text] = found
+
     def encode(self, text: str) -> list[int]:
         pieces = self.find(text)
         get = self._seen.get
         found = list(map(get, pieces))
         if None in found:
             piece = self.piece
-            found = [f if f is not None else get(p) or piece(p) for p, f in zip(pieces, found, strict=True)]
+            found = [f if f is not None else self._seen.get(p) or piece(p) for p, f in zip(pieces, found, strict=True)]
         return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: list[Codec] = []
 
 
-def _codec(key: tuple[int, str], ranks, pattern: str) -> Codec:
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks.value, pattern)
-    return _codecs[key]
+def _codec(vocabulary: Vocabulary, pattern: str) -> Codec:
+    """A worker's codec, kept while the same vocabulary and pattern are asked for."""
+    if not _codecs or _codecs[0].vocabulary.ranks != vocabulary.ranks or _codecs[0].pattern != pattern:
+        _codecs[:] = [Codec(vocabulary, pattern)]
+    return _codecs[0]
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,15 +247,14 @@ def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_c
 
 
 def _run(df: DataFrame, ranks, pattern: str, id_col: str, text_col: str, columns: str, row) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
-    key = (hash(frozenset(ranks.items())), pattern)
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
     kind = df.schema[id_col].dataType.simpleString()
     names = ["id", *(c.split()[0] for c in columns.split(", "))]
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     types = [kinds[c.split()[1]] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, shared, pattern)
+        codec = _codec(shared.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
