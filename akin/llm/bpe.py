@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Encoded pieces that a Python worker remembers, and twice as many as pairs of tokens.
 MAX_CACHE = 600_000
+#: Bytes of a piece's beginning whose last tokens are remembered.
+HEAD = 6
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -112,6 +114,13 @@ class PrefixEncoder:
         self.last: list[int] = []
         self.append(data)
 
+    @classmethod
+    def resumed(cls, vocabulary: Vocabulary, data: bytes, last: list[int]) -> PrefixEncoder:
+        """An encoder of ``data`` whose last tokens are known already."""
+        own = cls(vocabulary)
+        own.data, own.last = data, list(last)
+        return own
+
     def append(self, more: bytes) -> PrefixEncoder:
         """Add bytes; stored tokens of shorter prefixes stay as they are."""
         v, data, last = self.vocabulary, self.data + more, self.last
@@ -167,6 +176,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self._seen: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
+        self._heads: dict[bytes, list[int]] = {}
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Tokens of one match; a match that is itself a token is that token, as the rank format defines."""
@@ -176,11 +186,20 @@ class Codec:
             return found
         data = text.encode()
         whole = self.vocabulary.ranks.get(data)
-        found = (whole,) if whole is not None else tuple(PrefixEncoder(self.vocabulary, data).tokens())
+        found = (whole,) if whole is not None else tuple(self._begun(data[:HEAD]).append(data[HEAD:]).tokens())
         if len(data) <= 64:
             self._remember(text, found)
         return found
 
+    def _begun(self, head: bytes) -> PrefixEncoder:
+        """An encoder of a beginning, whose last tokens are remembered, as many pieces share it."""
+        last = self._heads.get(head)
+        if last is None:
+            if len(self._heads) >= MAX_CACHE // 4:
+                self._heads.clear()
+            last = self._heads[head] = PrefixEncoder(self.vocabulary, head).last
+        return PrefixEncoder.resumed(self.vocabulary, head, last)
+
     def _remember(self, text: str, found: tuple[int, ...]) -> None:
         """Two generations: what is asked for again survives when the older one goes."""
         if len(self._seen) >= MAX_CACHE // 2:

@@ -11,8 +11,9 @@ Scale: documents are read once and never shuffled while the benchmark's fingerpr
 ``max_entries`` (counted first). A larger benchmark is taken in parts of that size, one pass
 over the documents each, and the hits of the passes are joined by document.
 
-Cases: null or empty texts and items have no words. Repeated rows are judged one by one;
-items that share an id count once. Further columns are not read.
+Cases: null or empty texts and items have no words. Repeated rows are judged one by one
+(where the benchmark takes several passes, rows that share an id give one row); items that
+share an id count once. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def winnow(values: np.ndarray, width: int) -> np.ndarray:
         take = other <= low
         low = np.where(take, other, low)
         best = np.where(take, np.arange(n) + step, best)
-    return np.unique(best)
+    return best[np.r_[True, best[1:] != best[:-1]]]  # the smallest value's place never moves back
 
 
 class Index:
@@ -105,7 +106,8 @@ class Index:
     def _hit_by_prints(self, words) -> np.ndarray:
         """Starts of the windows around the kept grams that are fingerprints of an item as well."""
         grams = rolling(words.hash, self.gram)
-        at = np.flatnonzero(self.sieve[(grams >> np.uint64(48)).astype(np.int64)])
+        at = winnow(grams, self.span - self.gram + 1)  # over text borders too, which only adds fingerprints
+        at = at[self.sieve[(grams[at] >> np.uint64(48)).astype(np.int64)]]
         at = at[np.isin(grams[at], self.prints)]
         # A window's smallest gram is kept on both sides, so each window that matches holds a found gram.
         start = np.unique((at[:, None] - np.arange(self.span - self.gram + 1)).reshape(-1))
