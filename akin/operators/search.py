@@ -84,6 +84,11 @@ def _length(c: str, schema) -> Column:
     return F.size(c) if isinstance(schema[c].dataType, ArrayType) else F.length(c)
 
 
+def text_id(text: Column, is_array: bool) -> Column:
+    """16 bytes that stand for a text in joins, so that no shuffled posting carries the text itself."""
+    return F.unhex(F.md5(F.to_json(text) if is_array else text))
+
+
 def similarity_join(questions: DataFrame, choices: DataFrame, scorer: Scorer, threshold: float | None = None) -> DataFrame:
     """``(q, key, ord, score)`` of all pairs of ``(q, query)`` and :func:`prepared` choices that meet a threshold.
 
@@ -91,21 +96,23 @@ def similarity_join(questions: DataFrame, choices: DataFrame, scorer: Scorer, th
     bag metrics (threshold above 0), a shared-gram filter for Indel and ratio, the lengths.
     """
     threshold = T.checked(threshold)
-    texts = choices.select("text").where("text is not null").distinct()
-    asked = questions.select("query").where("query is not null").distinct()
+    is_array = isinstance(choices.schema["text"].dataType, ArrayType)
+    named = questions.where("query is not null").withColumn("qid", text_id(F.col("query"), is_array))
+    held = choices.where("text is not null").withColumn("tid", text_id(F.col("text"), is_array))
+    asked, texts = named.select("qid", "query").dropDuplicates(["qid"]), held.select("tid", "text").dropDuplicates(["tid"])
     if T.impossible(scorer.direction, scorer.bounds, threshold):
-        scored = asked.crossJoin(texts).where(F.lit(False)).withColumn("score", F.lit(0.0))
+        scored = asked.crossJoin(texts).where(F.lit(False)).select("qid", "tid", F.lit(0.0).alias("score"))
     elif threshold is not None and threshold > 0 and X.supports(scorer):
-        left, right = (X.for_scorer(side.select(F.col(c).alias("id"), F.col(c).alias("text")), scorer) for side, c in ((asked, "query"), (texts, "text")))
-        scored = X.scores(left, right, scorer).where(F.col("score") >= threshold).select(F.col("q").alias("query"), F.col("c").alias("text"), "score")
+        left, right = X.for_scorer(asked.toDF("id", "text"), scorer), X.for_scorer(texts.toDF("id", "text"), scorer)
+        scored = X.scores(left, right, scorer).where(F.col("score") >= threshold).select(F.col("q").alias("qid"), F.col("c").alias("tid"), "score")
     else:
-        pairs = _gram_candidates(asked, texts, scorer, threshold)
+        pairs = None if is_array else _gram_candidates(asked, texts, scorer, threshold)
         if pairs is None:
             pairs = asked.crossJoin(texts)
             bound = threshold is not None and length_bound(scorer.name, dict(scorer.config), threshold, _length("query", pairs.schema), _length("text", pairs.schema))
             pairs = pairs.where(bound) if isinstance(bound, Column) else pairs
-        scored = pairs.withColumn("score", scorer.column(F.col("query"), F.col("text"), threshold, once=True)).where("score is not null")
-    found = questions.join(scored, "query").join(choices.drop("item"), "text").select("q", "key", "ord", "score")
+        scored = pairs.withColumn("score", scorer.column(F.col("query"), F.col("text"), threshold, once=True)).where("score is not null").select("qid", "tid", "score")
+    found = named.select("q", "qid").join(scored, "qid").join(held.select("key", "ord", "tid"), "tid").select("q", "key", "ord", "score")
     absent = questions.where("query is null").select("q")
     if scorer.direction == SIMILARITY and scorer.missing == "compatible":
         if threshold is None or threshold <= 0:
@@ -120,27 +127,23 @@ def _gram_candidates(asked: DataFrame, texts: DataFrame, scorer: Scorer, thresho
 
     Where the fewest shared grams of a pair of lengths is 0 or less, the lengths decide alone.
     """
-    if scorer.name not in ("indel.normalized_similarity", "fuzz.ratio") or threshold is None or threshold <= 0 or isinstance(texts.schema["text"].dataType, ArrayType):
+    if scorer.name not in ("indel.normalized_similarity", "fuzz.ratio") or threshold is None or threshold <= 0:
         return None
     t = threshold / 100 if scorer.name == "fuzz.ratio" else threshold
     n = GRAM_FILTER
-    left, right = (X.GramIndex.build(side.select(F.col(c).alias("id"), F.col(c).alias("text")), n) for side, c in ((asked, "query"), (texts, "text")))
-    ql, cl = F.length("query"), F.length("text")
-    distance = F.floor((1 - t + 1e-9) * (ql + cl))
+    sizes = (asked.select("qid", F.length("query").alias("a")), texts.select("tid", F.length("text").alias("b")))
+    a, b = F.col("a"), F.col("b")
     grams = lambda size: F.greatest(size - (n - 1), F.lit(0))
-    least = gram_bound(n, distance, grams(ql), grams(cl))
-    fits = 2 * F.least(ql, cl) >= (t - 1e-9) * (ql + cl)
-    q = left.postings.select(F.col("id").alias("query"), "gram", F.col("n").alias("qn"))
-    c = right.postings.select(F.col("id").alias("text"), "gram", F.col("n").alias("cn"))
-    shared = q.join(c, "gram").where(fits).groupBy("query", "text").agg(F.sum(F.least("qn", "cn")).alias("shared"))
-    by_grams = shared.where((F.col("shared") >= least) & (least > 0)).select("query", "text")
+    fits = 2 * F.least(a, b) >= (t - 1e-9) * (a + b)
+    least = gram_bound(n, F.floor((1 - t + 1e-9) * (a + b)), grams(a), grams(b))
+    postings = lambda side, c, text, size, count: side.select(c, F.length(text).alias(size), F.explode(X.grams_of(F.col(text), n, False)).alias("gram")).groupBy(c, size, "gram").agg(F.count(F.lit(1)).alias(count))
+    both = postings(asked, "qid", "query", "a", "qn").join(postings(texts, "tid", "text", "b", "cn"), "gram").where(fits)
+    shared = both.groupBy("qid", "tid", "a", "b").agg(F.sum(F.least("qn", "cn")).alias("shared"))
+    by_grams = shared.where((F.col("shared") >= least) & (least > 0)).select("qid", "tid")
     # Pairs of lengths too short for the filter: joined by length, of which there are few.
-    sizes = lambda side, c, name: side.select(c, F.length(c).alias(name))
-    lengths = asked.select(F.length("query").alias("a")).distinct().crossJoin(texts.select(F.length("text").alias("b")).distinct())
-    few = gram_bound(n, F.floor((1 - t + 1e-9) * (F.col("a") + F.col("b"))), grams(F.col("a")), grams(F.col("b"))) <= 0
-    short = lengths.where(few & (2 * F.least("a", "b") >= (t - 1e-9) * (F.col("a") + F.col("b"))))
-    by_length = sizes(asked, "query", "a").join(short, "a").join(sizes(texts, "text", "b"), "b").select("query", "text")
-    return by_grams.unionByName(by_length)
+    lengths = sizes[0].select("a").distinct().crossJoin(sizes[1].select("b").distinct()).where((least <= 0) & fits)
+    by_length = sizes[0].join(lengths, "a").join(sizes[1], "b").select("qid", "tid")
+    return by_grams.unionByName(by_length).join(asked, "qid").join(texts, "tid")
 
 
 def _ranked(found: DataFrame, scorer: Scorer, limit: int | None) -> DataFrame:

@@ -67,8 +67,7 @@ def brute(query, threshold, limit, scorer):
     return sorted(kept, key=lambda x: (sign * x[0], x[1]))[:limit]
 
 
-@pytest.mark.parametrize("threshold", [None, 0, 0.5, 0.9])
-@pytest.mark.parametrize("limit", [1, 3, None])
+@pytest.mark.parametrize(("threshold", "limit"), [(None, 1), (None, None), (0, 3), (0.5, 1), (0.5, None), (0.9, 3)])
 @pytest.mark.parametrize(
     "scorer",
     [
