@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import release, worker_caches
+
 #: Encoded pieces that a Python worker remembers, and twice as many as pairs of tokens.
-MAX_CACHE = 600_000
+MAX_CACHE = 400_000
 #: Bytes of a piece's beginning whose last tokens are remembered.
 HEAD = 6
 
@@ -195,7 +197,7 @@ class Codec:
         """An encoder of a beginning, whose last tokens are remembered, as many pieces share it."""
         last = self._heads.get(head)
         if last is None:
-            if len(self._heads) >= MAX_CACHE // 4:
+            if len(self._heads) >= MAX_CACHE // 8:
                 self._heads.clear()
             last = self._heads[head] = PrefixEncoder(self.vocabulary, head).last
         return PrefixEncoder.resumed(self.vocabulary, head, last)
@@ -220,6 +222,7 @@ class Codec:
 
 
 _codecs: list[Codec] = []
+worker_caches.append(_codecs.clear)
 
 
 def _codec(vocabulary: Vocabulary, pattern: str) -> Codec:
@@ -279,5 +282,6 @@ def _run(df: DataFrame, ranks, pattern: str, id_col: str, text_col: str, columns
                 part = batch.slice(at, 256)
                 rows = [row(codec, t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True))], names)
+        release()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)

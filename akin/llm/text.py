@@ -8,6 +8,7 @@ mixed, so each costs a handful of numpy passes whatever the window length.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -170,8 +171,41 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes], pa.RecordBatch]]:
     """Split Arrow batches into parts of at most ``limit`` text bytes (a longer text stands alone).
 
-    Yields the first column's values, the texts of the second, and the part itself.
+    Yields the first column's values, the texts of the second, and the part itself. At the end
+    of a task what the worker's allocators hold unused goes back to the system, as Python
+    workers live on and share their executor's memory with the JVM.
     """
+    for drop in worker_caches:
+        drop()
+    try:
+        yield from _chunks(batches, limit)
+    finally:
+        release()
+
+
+#: What another operator left in this Python worker and can make anew; dropped when a task of these chunks begins.
+worker_caches: list = []
+
+
+def release() -> None:
+    """Give unused memory of Arrow's and the C library's allocators back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:  # another C library
+        return None
+
+
+_LIBC = _libc()
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes], pa.RecordBatch]]:
     for batch in batches:
         lengths = np.fromiter((0 if t is None else t for t in pc.binary_length(batch.column(1)).to_pylist()), np.int64, batch.num_rows)
         at = 0
