@@ -1,8 +1,13 @@
 """Line dedup by pairwise alignment: common blocks are deleted from the later document.
 
-Overlapping documents are found through shared line hashes. A rare line (in at most ``rare``
-documents) links all its documents; a more frequent one links each of them with the first,
-which is exact for what is deleted and linear in their number. Each linked pair is aligned by
+Overlapping documents are found through hashes of line runs: from every line on, and back from
+every line, the shortest run of lines that together have ``min_chars`` characters. Whatever two
+documents can lose to each other holds such a run, and each of its lines lies in one, so
+documents without a shared run need no alignment, and lines outside shared runs stay. Each
+holder of a run is aligned with the run's first holder. Where lines of a shared run still stand,
+the document is aligned with the run's next ``rare`` holders, then with ``rare`` times as many,
+until the lines go or every earlier holder was tried. The result is that of all pairs.
+Each linked pair is aligned by
 patience diff: lines that occur once on both sides and keep their order (longest increasing
 subsequence) are anchors, and the stretches between are aligned in the same way. Runs of
 aligned lines with at least ``min_chars`` characters are deleted from the document with the
@@ -10,7 +15,10 @@ larger id. Documents are judged as they came in, so what a line's first document
 
 Scale: what is shuffled are line hashes and, for linked pairs, both documents' hash lists;
 texts meet their deletions by a broadcast of the deletions only if these are few (counted),
-else by a shuffle. A pair's lists are bounded by the documents' own lines.
+else by a shuffle. A pair's lists are bounded by the documents' own lines. Copies of a list of
+lines are judged without alignment, and only the first one is a holder. Pairs beyond those with
+first holders are made only for lines that stand, so only lines that many documents share and
+that align with none of them (repeated inside each, say) cost pairs of all their holders.
 
 Cases: lines are split at line feeds and compared without white space at their ends; blank
 lines never match and never go. A null or empty text is unchanged. Rows that share an id are
@@ -23,17 +31,19 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .graphs import BROADCAST_ROWS
-from .text import checkpointed
+from .graphs import BROADCAST_ROWS, sized
+from .text import checkpointed, mix, powers
 
-RARE, MIN_CHARS, KEY_CHARS = 8, 25, 12
+RARE, MIN_CHARS = 8, 25
+KEY_CHARS = 12  #: bounds no search; tests compare with brute force over lines of this length
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -97,6 +107,26 @@ def common_blocks(a: list, b: list, sizes: list[int], min_chars: int) -> list[in
     return gone
 
 
+def runs_of(h: np.ndarray, n: np.ndarray, first: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the shortest runs of lines with ``min_chars`` characters, from and back from each line.
+
+    ``first``: index of each document's first line; one more entry than documents.
+    """
+    total = np.r_[0, np.cumsum(n, dtype=np.int64)]
+    line = np.arange(len(n))
+    border = np.repeat(first[1:], np.diff(first))
+    end = np.searchsorted(total, total[:-1] + max(min_chars, 1))
+    on = end <= border
+    opening = np.repeat(first[:-1], np.diff(first))
+    start = np.searchsorted(total, total[1:] - max(min_chars, 1), "right") - 1
+    back = start >= opening
+    both = np.unique(np.r_[line[on] * (len(n) + 1) + end[on], start[back] * (len(n) + 1) + line[back] + 1])
+    start, end = both // (len(n) + 1), both % (len(n) + 1)
+    power, inverse = powers(len(n) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(mix(h.view(np.uint64)) * power[:-1], dtype=np.uint64)]
+    return start, end, mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(id, mark, lines)``: line numbers to delete from the row with this id and text hash."""
     spark = df.sparkSession
@@ -104,13 +134,31 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
     line = F.transform(pieces, lambda x, i: F.struct(F.xxhash64(F.trim(x)).alias("h"), i.alias("i"), F.length(F.trim(x)).alias("n")))
     docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.filter(line, lambda x: x["n"] > 0).alias("line"))
     docs = docs.select("id", "mark", F.col("line.h").alias("h"), F.col("line.i").alias("i"), F.col("line.n").alias("n"))
-    docs = checkpointed(spark, docs.where(F.size("h") > 0))
-    keys = docs.select("id", F.explode(F.arrays_zip("h", "n")).alias("line")).where(F.col("line.n") >= KEY_CHARS).select("id", F.col("line.h").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = checkpointed(spark, keys.join(shared, "key"))
-    few = held.where(F.col("n") <= rare).groupBy("key").agg(F.collect_list("id").alias("ids")).select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
-    many = held.where(F.col("n") > rare).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    pairs = checkpointed(spark, few.union(many).where("a < b").distinct())
+    docs = docs.where(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y) >= min_chars)  # the others hold no run
+    docs = checkpointed(spark, docs.where(F.size("h") > 0).withColumn("whole", F.xxhash64("h")))
+    leads = docs.groupBy("whole").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("whole", "lead")
+    known = docs.join(sized(checkpointed(spark, leads)), "whole", "left")
+    copies = known.where("lead < id").select("id", "mark", F.col("i").alias("lines"))
+    docs = checkpointed(spark, known.where("lead is null or lead = id").select("id", "mark", "h", "i", "n"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, i, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("h", "i", "n"))
+            first = np.r_[0, np.cumsum(batch.column("h").value_lengths().to_numpy())]
+            start, end, key = runs_of(h, n, first, min_chars)
+            doc = pa.array(np.searchsorted(first, start, "right") - 1)
+            size = end - start
+            own = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            own = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(i[own], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(doc), batch.column("mark").take(doc), pa.array(key.view(np.int64)), own], ["id", "mark", "key", "own"])
+
+    runs = docs.select("id", "mark", "h", "i", "n").mapInArrow(find, "id long, mark long, key long, own array<int>")
+    shared = runs.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+    turn = F.dense_rank().over(Window.partitionBy("key").orderBy("id"))
+    held = checkpointed(spark, runs.join(shared, "key").withColumn("turn", turn))
+    holders = held.select("key", F.col("id").alias("a"), F.col("turn").alias("nth")).distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +172,31 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
                     gone.append(i[found].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["id", "mark", "lines"])
 
-    later = pairs.join(docs.withColumnRenamed("id", "b"), "b")
-    both = later.join(docs.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").select("b", "mark", "h", "i", "n", "x")
-    found = both.mapInArrow(align, "id long, mark long, lines array<int>")
+    def aligned(pairs: DataFrame) -> DataFrame:
+        later = pairs.join(docs.withColumnRenamed("id", "b"), "b")
+        both = later.join(docs.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").select("b", "mark", "h", "i", "n", "x")
+        return _merged(both.mapInArrow(align, "id long, mark long, lines array<int>"))
+
+    gone = checkpointed(spark, aligned(held.where("turn > 1").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
+    standing = held.where("turn > 1").select("id", "mark", "key", "own", "turn")
+    tried, more, latest = 1, max(rare, 2), gone
+    found = [copies, gone]
+    while True:
+        standing = standing.where(F.col("turn") > tried + 1).join(latest, ["id", "mark"], "left")
+        standing = standing.withColumn("own", F.when(F.col("lines").isNull(), F.col("own")).otherwise(F.array_except("own", "lines"))).where(F.size("own") > 0).drop("lines")
+        standing = checkpointed(spark, standing)
+        if standing.isEmpty():
+            break
+        wanted = standing.select("key", F.col("id").alias("b"), F.col("turn")).distinct()
+        near = holders.where((F.col("nth") > tried) & (F.col("nth") <= tried + more))
+        pairs = wanted.join(near, "key").where("nth < turn").select("a", "b").distinct()
+        latest = checkpointed(spark, aligned(pairs))
+        found.append(latest)
+        tried, more = tried + more, more * max(rare, 2)
+    return _merged(reduce(DataFrame.union, found))
+
+
+def _merged(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
 
 

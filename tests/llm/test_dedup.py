@@ -181,6 +181,32 @@ def test_line_dedup(documents, corpus):
     assert sum(map(len, gone.values())) > 50
 
 
+def all_pairs(rows):
+    """What line dedup leaves of the texts if every pair of them is aligned."""
+    lines = {i: [(x.strip(" "), k) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")] for i, t in rows}
+    gone = defaultdict(set)
+    for a in lines:
+        for b in lines:
+            if a < b:
+                x, y = ([t for t, _ in lines[i]] for i in (a, b))
+                gone[b] |= {lines[b][j][1] for j in linededup.common_blocks(x, y, [len(t) for t in y], linededup.MIN_CHARS)}
+    return {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
+@pytest.mark.parametrize("rare", [2, linededup.RARE])
+def test_line_dedup_of_frequent_lines(spark, rng, rare):
+    frequent = [f"frequent line {k} of some length" for k in range(5)] + ["short one", "short two", "menu", "home"]
+    rows = []
+    for i in range(60):
+        own = rng.sample(frequent, rng.randint(2, 7)) + [f"only here {i} {k} and nowhere else" for k in range(rng.randint(0, 2))]
+        own += own[:1] * rng.randint(0, 1)
+        rng.shuffle(own)
+        rows.append((i, "\n".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.remove_common_blocks(df, rare=rare).collect()}
+    assert got == all_pairs(rows)
+
+
 def test_line_dedup_odd(spark, nothing):
     assert linededup.remove_common_blocks(nothing).count() == 0
     line = "a line that is surely long enough to go"
