@@ -207,6 +207,14 @@ def test_line_dedup_of_frequent_lines(spark, rng, rare):
     assert got == all_pairs(rows)
 
 
+def test_line_dedup_of_short_lines(spark):
+    menu = ["home", "products", "about us", "contact", "login"]
+    rows = [(1, "\n".join(["the first", *menu])), (2, "\n".join([*menu, "the next"])), (3, "home\nlogin\nalone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.remove_common_blocks(df).collect()}
+    assert got == all_pairs(rows) and got[2] == "the next"
+
+
 def test_line_dedup_odd(spark, nothing):
     assert linededup.remove_common_blocks(nothing).count() == 0
     line = "a line that is surely long enough to go"
