@@ -10,9 +10,12 @@ training texts of the language show, given the text's length.
 Characters: letters and marks in lower case, anything else is a space, and runs of spaces
 are one. Letters outside the basic plane share the 6,400 private-use codes.
 
-Scale: a text is scored where it is read, nothing is shuffled. The broadcast model holds at
-most ``max_grams`` of the most frequent grams, whatever the size of the corpus; less frequent
-ones back off to shorter grams. Calibration uses about ``calibration_rows`` training rows.
+Scale: a text is scored where it is read, nothing is shuffled. Up to ``max_grams`` grams are all in
+the broadcast model. Of more, Spark estimates counts, discounts and continuation counts over all
+grams; then each order of the model keeps about ``sqrt(max_grams * grams)`` of them, which grows
+with the corpus. Languages share this evenly, and what a small one leaves goes to the larger; each
+keeps its most frequent grams, and the others' probability goes to the shorter grams. Calibration
+uses about ``calibration_rows`` training rows, and ``LABEL_ROWS`` of each label (all if fewer).
 
 Cases: a null text and one without a letter is ``und``, rejected, with score 0. Without any
 training row all texts are ``und``. Ties go to the language that sorts first. Labels of null
@@ -30,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, mix
+from .text import checkpointed, chunks, mix
 
 ORDER, SPACE = 4, 0x20
 CHUNK = 2 << 20
 MAX_GRAMS, CALIBRATION_ROWS = 1_000_000, 4_000
+LABEL_ROWS, LABEL_GRAMS = 200, 1_000
 RESULT = "lang_pred string, score double, rejected boolean, cross_entropy double"
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -140,6 +144,20 @@ class KneserNey:
             n = n.astype(np.float64)
         self.floor = 1.0 / (len(self.levels[-1][0]) + 1)
 
+    @classmethod
+    def of(cls, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], letters: int) -> KneserNey:
+        """From kept grams, counts, their contexts' totals and discounts, by order; what isn't kept goes to shorter grams."""
+        made = cls.__new__(cls)
+        made.levels = []
+        for grams, n, totals, discount in levels:
+            order = np.argsort(grams)
+            keys, reduced = grams[order], np.maximum(n[order] - discount, 0)
+            context, at = np.unique(keys >> np.uint64(16), return_index=True)
+            total = totals[order][at].astype(np.float64)
+            made.levels.append((keys, reduced, context, total, (total - np.add.reduceat(reduced, at)) / total))
+        made.floor = 1.0 / (letters + 1)
+        return made
+
     def probability(self, grams: np.ndarray, m: int = ORDER) -> np.ndarray:
         if m == 0:
             return np.full(len(grams), self.floor)
@@ -158,7 +176,10 @@ class KneserNey:
 
 
 def _discount(n: np.ndarray) -> float:
-    one, two = int((n == 1).sum()), int((n == 2).sum())
+    return _discount_of(int((n == 1).sum()), int((n == 2).sum()))
+
+
+def _discount_of(one: int, two: int) -> float:
     return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
 
 
@@ -190,9 +211,9 @@ class HashArray:
 class Model:
     """All languages' models as shared hash arrays, with what calibrates rejection and score."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        models = [KneserNey(*counts[name]) for name in self.langs]
+    def __init__(self, by_lang: dict[str, KneserNey]):
+        self.langs = sorted(by_lang)
+        models = [by_lang[name] for name in self.langs]
         self.grams: list[HashArray] = []
         self.weights: list[HashArray] = []
         for m in range(ORDER, 0, -1):
@@ -231,16 +252,14 @@ class Model:
         return -total / np.maximum(n, 1)[:, None], n, grams.letters
 
     def calibrate(self, langs: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> None:
-        for i, name in enumerate(self.langs):
-            own = (langs == name) & (n > 0)
-            if not own.any():
-                continue
-            e, length = entropy[own, i], n[own]
-            mean = np.average(e, weights=np.minimum(length, 1000))
-            long = length >= 200
-            spread = e[long].std() if long.sum() >= 8 else 0.1
-            short = np.sqrt(np.mean((e - mean) ** 2 * np.minimum(length, 200)))
-            self.usual[i] = mean, spread, short
+        known = n > 0
+        if not known.any():
+            return
+        column = np.searchsorted(self.langs, langs[known].astype(str))
+        e, length = entropy[np.flatnonzero(known), column], n[known]
+        self.usual[:] = _usual(e, length)  # pooled, for a language without rows here
+        for i in np.unique(column):
+            self.usual[i] = _usual(e[column == i], length[column == i])
 
     def predict(self, texts: list[bytes], strictness: float) -> dict[str, np.ndarray]:
         entropy, n, letters = self.cross_entropy(texts)
@@ -259,20 +278,80 @@ class Model:
         }
 
 
+def _usual(e: np.ndarray, length: np.ndarray) -> tuple[float, float, float]:
+    mean = np.average(e, weights=np.minimum(length, 1000))
+    long = length >= 200
+    spread = e[long].std() if long.sum() >= 8 else 0.1
+    return mean, spread, np.sqrt(np.mean((e - mean) ** 2 * np.minimum(length, 200)))
+
+
+def _shares(sizes: dict[str, int], room: int) -> dict[str, int]:
+    """How many grams each language keeps: even shares, what a small one leaves goes to the larger, ``LABEL_GRAMS`` at least."""
+    shares = {}
+    for at, (name, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        shares[name] = min(size, max(LABEL_GRAMS, room // (len(sizes) - at)))
+        room = max(0, room - shares[name])
+    return shares
+
+
+def estimated(counts: DataFrame, room: int) -> dict[str, KneserNey]:
+    """Models estimated in Spark from all of ``(lang, gram, n)``, of which about ``room`` grams an order are kept."""
+    spark = counts.sparkSession
+    levels: dict[str, list] = {}
+    letters: dict[str, int] = {}
+    level = counts
+    for m in range(ORDER, 0, -1):
+        kinds: dict[str, dict[int, int]] = {}
+        for r in level.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams")).collect():
+            kinds.setdefault(r.lang, {})[r.n] = r.grams
+        letters = {name: sum(k.values()) for name, k in kinds.items()}
+        cuts = []
+        for name, share in _shares(letters, room).items():
+            least, ties = 0, 1.0
+            for n in sorted(kinds[name], reverse=True):
+                if share < kinds[name][n]:
+                    least, ties = n, share / kinds[name][n]
+                    break
+                share -= kinds[name][n]
+            cuts.append((name, least, int(ties * (1 << 20))))
+        level = level.withColumn("context", F.shiftrightunsigned("gram", 16))
+        totals = level.groupBy("lang", "context").agg(F.sum("n").alias("total"))
+        tie = (F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < F.col("ties"))
+        kept = level.join(F.broadcast(spark.createDataFrame(cuts, "lang string, least long, ties long")), "lang").where((F.col("n") > F.col("least")) | tie)
+        found = kept.join(totals, ["lang", "context"]).select("lang", "gram", "n", "total").toArrow()
+        langs, grams, n, total = (found.column(c).to_numpy() for c in ("lang", "gram", "n", "total"))
+        for name, k in kinds.items():
+            own = langs == name
+            levels.setdefault(name, []).append((grams[own].view(np.uint64), n[own], total[own], _discount_of(k.get(1, 0), k.get(2, 0))))
+        if m > 1:
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * (m - 1)) - 1))
+            level = checkpointed(spark, level.groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    return {name: KneserNey.of(own, letters[name]) for name, own in levels.items()}
+
+
 def train(
     df: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS
 ) -> Model | None:
     """A model of all rows with a label; None if there are none."""
     spark = df.sparkSession
-    found = count_grams(df, F.col(lang_col), F.col(text_col)).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    if not found.num_rows:
+    counts = checkpointed(spark, count_grams(df, F.col(lang_col), F.col(text_col)))
+    all_grams = counts.count()
+    if not all_grams:
         return None
-    langs, grams, n = (found.column(c).to_numpy() for c in ("lang", "gram", "n"))
-    model = Model({name: (grams[langs == name].view(np.uint64), n[langs == name]) for name in set(langs.tolist())})
+    if all_grams <= max_grams:
+        found = counts.toArrow()
+        langs, grams, n = (found.column(c).to_numpy() for c in ("lang", "gram", "n"))
+        model = Model({name: KneserNey(grams[langs == name].view(np.uint64), n[langs == name]) for name in set(langs.tolist())})
+    else:
+        model = Model(estimated(counts, int((max_grams * all_grams) ** 0.5)))
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.count()
-    share = min(1.0, calibration_rows / max(1, total))
-    sample = rows.where(F.pmod(F.xxhash64(F.col(key_col)), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(key_col)), F.lit(1 << 20)).alias("at"))
+    labels = {r.lang: r["rows"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    share = min(1.0, calibration_rows / max(1, sum(labels.values())))
+    sample = rows
+    if share < 1:
+        cuts = spark.createDataFrame([(name, int(min(1.0, max(share, LABEL_ROWS / n)) * (1 << 20))) for name, n in labels.items()], "lang string, cut long")
+        sample = rows.join(F.broadcast(cuts), "lang").where("at < cut")
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +359,10 @@ def train(
             entropy, length, _ = shared.value.cross_entropy(texts)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(length)], ["lang", "e", "n"])
 
-    seen = sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(measure, "lang string, e array<double>, n long").toArrow()
+    measured = lambda part: part.select("lang", "text").mapInArrow(measure, "lang string, e array<double>, n long").toArrow()
+    seen = measured(sample)
+    if not seen.num_rows:  # rows that share few keys
+        seen = measured(rows.limit(calibration_rows))
     if seen.num_rows:
         model.calibrate(seen.column("lang").to_numpy(), np.array(seen.column("e").to_pylist()), seen.column("n").to_numpy())
     return model

@@ -36,6 +36,39 @@ def test_language(spark, labelled_texts, nothing):
     assert langid.train(nothing) is None and langid.predict(odd_rows(spark), None).select("language.lang_pred").first()[0] == "und"
 
 
+@pytest.fixture(scope="module")
+def uneven_texts(spark, rng):
+    """Two languages of many rows, and one of six."""
+    rows = [(i, prose(rng, ["aa", "bb"][i % 2], 60), ["aa", "bb"][i % 2]) for i in range(400)]
+    rows += [(1000 + i, prose(rng, "cc", 12), "cc") for i in range(6)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_rare_language_keeps_its_grams(spark, rng, uneven_texts):
+    model = langid.train(uneven_texts, max_grams=40)
+    assert model.langs == ["aa", "bb", "cc"]
+    held_out = spark.createDataFrame([(i, prose(rng, "cc", 40)) for i in range(20)], "doc_id long, text string")
+    got = langid.predict(held_out, model).select("language.*").collect()
+    assert all(r.lang_pred == "cc" for r in got)
+
+
+def test_kneser_ney_in_spark(uneven_texts, monkeypatch):
+    counts = langid.count_grams(uneven_texts, F.col("lang"), F.col("text"))
+    rows = counts.collect()
+    pick = lambda name: langid.KneserNey(*(np.array([r[c] for r in rows if r.lang == name]).astype(t) for c, t in (("gram", np.uint64), ("n", np.int64))))
+    for name, got in langid.estimated(counts, 1 << 20).items():
+        want = pick(name)
+        assert got.floor == want.floor
+        assert all(np.allclose(x.astype(float), y.astype(float)) for a, b in zip(got.levels, want.levels, strict=True) for x, y in zip(a, b, strict=True))
+    monkeypatch.setattr(langid, "LABEL_GRAMS", 50)
+    for got in langid.estimated(counts, 300).values():  # pruned: contexts that are kept still share out one
+        letters = got.levels[-1][0]
+        for context in got.levels[0][2][:20]:
+            lower = got.probability(letters, 1).sum() + got.floor * got.backoff(np.zeros(1, np.uint64), 1)[0]
+            total = got.probability((context << np.uint64(16)) | letters).sum()
+            assert len(got.levels[0][0]) < 300 and total <= 1 + 1e-9 and lower <= 1 + 1e-9
+
+
 def odd_rows(spark):
     return spark.createDataFrame([(1, "some text")], "doc_id long, text string")
 
