@@ -69,6 +69,17 @@ def test_kneser_ney_in_spark(uneven_texts, monkeypatch):
             assert len(got.levels[0][0]) < 300 and total <= 1 + 1e-9 and lower <= 1 + 1e-9
 
 
+def test_rare_language_is_rejected_too(spark, uneven_texts):
+    model = langid.train(uneven_texts, calibration_rows=20)
+    assert np.isfinite(model.usual).all()
+    rare = model.langs.index("cc")
+    model.usual[:] = 0, np.inf, 0
+    model.calibrate(np.array(["aa", "bb"] * 10, object), np.full((20, 3), 2.0), np.full(20, 300))
+    assert np.isfinite(model.usual[rare]).all() and model.usual[rare][0] == 2.0
+    foreign = spark.createDataFrame([(1, "жщюя ыъэ цшфч " * 40)], "doc_id long, text string")
+    assert langid.predict(foreign, model).select("language.rejected").first()[0]
+
+
 def odd_rows(spark):
     return spark.createDataFrame([(1, "some text")], "doc_id long, text string")
 
