@@ -4,7 +4,8 @@ Codebooks of 16 centres a two-dimensional subspace are fitted so that the error
 products counts: the part of a residual parallel to its vector weighs ``eta`` times the rest
 (``eta`` follows from the dimension and the threshold ``T``). Every vector is coded with four
 bits a subspace. A block of codes is scanned for a block of queries by adding table entries,
-one lookup for each byte of code; the best ``rerank`` vectors are then scored exactly.
+one lookup for each byte of code; the best ``rerank`` vectors are then scored exactly. Above
+``RERANK_ROWS`` vectors ``rerank`` grows with the fourth root of their number, else recall would fall.
 
 Scale: equal vectors are one node, of which the ``k + 1`` smallest ids are kept (no more can
 be in a result), so a vector that a third of all rows share is coded and scanned once. Blocks
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .text import checkpointed
 
 SAMPLE_ROWS, RERANK, THRESHOLD = 20_000, 240, 0.2
+RERANK_ROWS = 50_000
 CODE_BLOCK, QUERY_BLOCK = 16_384, 256
 
 
@@ -99,6 +101,11 @@ class Codebook:
         return total
 
 
+def reranked(rerank: int, n: int) -> int:
+    """How many of ``n`` vectors are scored exactly for a query."""
+    return int(np.ceil(rerank * max(1.0, n / RERANK_ROWS) ** 0.25))
+
+
 def _split(x: np.ndarray) -> np.ndarray:
     """Vectors as subspaces of two dimensions, an even number of them (zeros are added)."""
     more = -x.shape[1] % 4
@@ -134,6 +141,7 @@ def search(
     nodes = checkpointed(spark, few.groupBy("raw").agg(F.min("id").alias("node"), F.collect_list("id").alias("ids")))
     asked = checkpointed(spark, rows.where("q").select(F.col("id").alias("query_id"), "raw").distinct().join(nodes.select("raw", "node"), "raw"))
     n, n_asked = nodes.count(), asked.select("node").distinct().count()
+    rerank = reranked(rerank, n)
     share = int(min(1.0, sample_rows / n) * (1 << 20))
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share).orderBy("node").select("raw").toArrow()
     if not sample.num_rows:

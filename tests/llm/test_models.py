@@ -231,6 +231,20 @@ def test_neighbours(spark):
     assert by[1000] == want[1000]  # ties go to the smaller ids
 
 
+def test_rerank_grows_with_the_vectors(spark, monkeypatch):
+    assert ann.reranked(240, 50_000) == 240 and ann.reranked(240, 3_080_192) == 673
+    x = np.random.default_rng(6).standard_normal((2000, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>")
+    want, recall = brute(np.arange(len(x)), x), []
+    for rows in (50_000, 8):  # as if the table were small, and large
+        monkeypatch.setattr(ann, "RERANK_ROWS", rows)
+        found = {}
+        for r in ann.search(df, F.col("vec_id") % 20 == 0, rerank=25).collect():
+            found.setdefault(r.query_id, set()).add(r.id)
+        recall.append(np.mean([len(found[q] & set(want[q])) / 20 for q in want]))
+    assert recall[0] < 0.9 < recall[1]
+
+
 def test_neighbours_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.id) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
