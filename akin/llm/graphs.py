@@ -23,34 +23,37 @@ def sized(side: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
 
 
 def _joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    over: dict[int, int] = {}
+    over: dict = {}
+    kind = pa.int64()
 
-    def top(x: int) -> int:
+    def top(x):
         while (up := over.setdefault(x, x)) != x:
             over[x] = over[up]
             x = up
         return x
 
     for batch in batches:
+        kind = batch.schema.field(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = top(a), top(b)
             over[max(x, y)] = min(x, y)
     nodes = list(over)
     for at in range(0, len(nodes), 50_000):
         own = nodes[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([top(x) for x in own], pa.int64())], ["node", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array([top(x) for x in own], kind)], ["node", "root"])
 
 
 def components(spark, edges: DataFrame, rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
-    """``(node, root)`` for every node of the edges ``(a, b)``; root is the smallest node of its component.
+    """``(node, root)`` for every node of the edges ``(a, b)``, longs or binaries; root is the smallest node of its component.
 
     Few edges (counted, ``task_edges``) are joined by one task. More go through alternating
     large-star and small-star steps, whose edge count never grows and which end after a
     logarithmic number of rounds; each round's edges are checkpointed.
     """
+    kind = edges.schema["a"].dataType.simpleString()
     edges = checkpointed(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
     if edges.count() <= task_edges:
-        return edges.coalesce(1).mapInArrow(_joined_in_task, "node long, root long")
+        return edges.coalesce(1).mapInArrow(_joined_in_task, f"node {kind}, root {kind}")
     before = None
     for _ in range(rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))

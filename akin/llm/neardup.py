@@ -7,18 +7,23 @@ ranks; a text throws those darts that land below a rank bound set by its total w
 earliest dart. Two texts agree in a coordinate with the probability of their weighted Jaccard
 similarity. Bands of coordinates are joined; every candidate is verified exactly.
 
-Scale: texts with the same words are one node, so a group of copies of any size is a single
-row before banding. In each band bucket the members are first compared with the bucket's
-smallest id only, then (in rounds) those outside its largest component with one member of it: a
-linear number of pairs. What is still apart in a bucket is compared in full, block against
-block, and gives at most the links that join components; so no link between components is
-lost although no bucket is expanded into all its pairs. Shingle profiles are made for
-candidates only. Components are found by Spark (large-star and
-small-star); neither links nor components come to the driver.
+Scale: texts with the same words are one node (a digest of 16 bytes), so a group of copies of
+any size is a single row before banding. In each band bucket the members are first compared
+with one of them, then those outside the bucket's largest component with one member of it: a
+linear number of pairs. Texts of buckets that still hold several components are joined exactly:
+of each the rarest fifth of its cells (by their number of texts) is enough to meet every text
+that is alike, so texts with much of their own meet nobody, however large their bucket. Only
+texts of different components are paired. In the worst case (texts that mix the same few
+shingles) that join still has as many candidates as pairs; nothing is cut off then. Rows of a
+key are dealt out by ``SALT_ROWS``, so no task gets a whole large bucket. Shingle profiles are
+made for candidates only. Components are found by Spark (large-star and small-star); neither
+links nor components come to the driver. Keys of candidates have 64 bits; links, which are
+verified, name digests.
 
 Cases: a text of one to four words is one shingle. Texts without a word are in one class if
-they are equal; a null text is a class of its own. Rows that share an id fall in one class and give one row.
-Further columns are not read.
+they are equal; a null text is a class of its own. Rows that share an id fall in one class and
+give one row, whatever their order; :func:`later_copies` judges them by their texts instead.
+Rows without an id have no class, but as copies they can go. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components, sized
-from .text import ALNUM_HIGH, checkpointed, chunks, mix, rolling, starts_inside, words_of
+from .text import ALNUM_HIGH, checkpointed, chunks, mix, release, rolling, starts_inside, words_of
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
-#: Rounds that try members against one member of their bucket's largest component; members in a block.
-HUB_ROUNDS, BLOCK = 1, 128
+#: Rounds that try members against one member of their bucket's largest component; rows of a key that stay together; text bytes signed at once.
+HUB_ROUNDS, SALT_ROWS, CHUNK = 1, 256, 1 << 20
 _LOW48 = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,31 +101,34 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def _digests(texts: list[bytes], words) -> list[bytes]:
+    """What two texts share if they have the same words; of texts without a word, if they are equal."""
+    bounds = zip(words.first[:-1].tolist(), words.first[1:].tolist(), texts, strict=True)
+    return [hashlib.blake2b(words.hash[a:b].tobytes() if b > a else b"\0" + text, digest_size=16).digest() for a, b, text in bounds]
+
+
 def _signing(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, part in chunks(batches):
+        for _, texts, part in chunks(batches, CHUNK):
             doc, cell, first, words = cells_of(texts, shingle)
             keys = band_keys(darts(doc, cell, np.diff(first), bands * rows), bands, rows).view(np.int64)
-            some, present = np.diff(first) > 0, part.column(1).is_valid().to_pylist()
-            digests = [
-                hashlib.blake2b(words.hash[a:b].tobytes() if b > a else b"\0" + text, digest_size=16).digest() if here else None
-                for a, b, text, here in zip(words.first[:-1], words.first[1:], texts, present, strict=True)
-            ]
+            some = np.diff(first) > 0
+            digests = pa.array(_digests(texts, words), pa.binary(), mask=~part.column(1).is_valid().to_numpy(zero_copy_only=False))
             offsets = pa.array(np.r_[0, np.cumsum(np.where(some, bands, 0))], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys[some].reshape(-1)))],
-                ["id", "digest", "keys"],
-            )
+                [part.column(0), part.column(2), digests, pa.ListArray.from_arrays(offsets, pa.array(keys[some].reshape(-1)))], ["id", "mark", "digest", "keys"]
+            )
 
     return run
 
 
 def _profiles(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, part in chunks(batches):
-            _, cell, first, _ = cells_of(texts, shingle)
+        for _, texts, _ in chunks(batches, CHUNK):
+            _, cell, first, words = cells_of(texts, shingle)
             raw = cell.view(np.uint8).reshape(-1, 8)[:, :6]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "cells"])
+            cells = [raw[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(texts, words), pa.binary()), pa.array(cells, pa.binary())], ["digest", "cells"])
 
     return run
 
@@ -145,125 +153,151 @@ def _verifying(threshold: float):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = pa.array([similarity_of(a, b) >= threshold for a, b in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+        release()
 
     return run
 
 
-def _linking(threshold: float):
-    """Links that join different components of two blocks of members, at most one for each component joined."""
+def _opening(threshold: float):
+    """The rarest cells of each text, as many that two texts alike enough share one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                (nodes, roots, left), (others, tops, right) = _members(batch.column(0)[k].values), _members(batch.column(1)[k].values)
-                common = _common(left, right)
-                n, m = np.array([len(c) for c in left]), np.array([len(c) for c in right])
-                alike = common >= threshold * (n[:, None] + m[None] - common) - 1e-9
-                over: dict[int, int] = {}
-
-                def top(x: int, over=over) -> int:
-                    while over.get(x, x) != x:
-                        x = over[x]
-                    return x
-
-                found = []
-                for i, j in np.argwhere(alike & (roots[:, None] != tops[None])).tolist():
-                    a, b = top(int(roots[i])), top(int(tops[j]))
-                    if a != b and common[i, j] / max(1, n[i] + m[j] - common[i, j]) >= threshold:
-                        over[max(a, b)] = min(a, b)
-                        found.append((int(nodes[i]), int(others[j])))
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            nodes, cells = [], []
+            for node, raw, frequent, counts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                own = _wide(raw)
+                times = np.ones(len(own), np.int64)
+                if frequent:
+                    order = np.argsort(known := np.array(frequent, np.uint64))
+                    at = np.minimum(np.searchsorted(known[order], own), len(known) - 1)
+                    times = np.where(known[order][at] == own, np.array(counts, np.int64)[order][at], 1)
+                first = np.lexsort((own, times))[: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1]
+                first = first[times[first] > 1]  # a cell that no other text has joins nothing
+                nodes.append(np.full(len(first), node, np.int64))
+                cells.append(own[first])
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(cells).view(np.int64))], ["d", "cell"])
+        release()
 
     return run
 
 
-def _members(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    return block.field("node").to_numpy(), block.field("root").to_numpy(), [_wide(c) for c in block.field("cells").to_pylist()]
-
-
-def _common(left: list[np.ndarray], right: list[np.ndarray], slab: int = 4096) -> np.ndarray:
-    """Cells that each left member shares with each right one; a slab of the cells on both sides at a time."""
-    ours, theirs = np.concatenate(left), np.concatenate(right)
-    cells = np.intersect1d(ours, theirs)
-    out = np.zeros((len(left), len(right)), np.float32)
-    if not len(cells):
-        return out
-    sides = []
-    for parts, every in ((left, ours), (right, theirs)):
-        member = np.repeat(np.arange(len(parts)), [len(c) for c in parts])
-        at = np.minimum(np.searchsorted(cells, every), len(cells) - 1)
-        held = cells[at] == every
-        order = np.argsort(at[held], kind="stable")
-        sides.append((member[held][order], at[held][order]))
-    for low in range(0, len(cells), slab):
-        grids = []
-        for parts, (member, at) in zip((left, right), sides, strict=True):
-            a, b = np.searchsorted(at, [low, low + slab])
-            grid = np.zeros((len(parts), slab), np.float32)
-            grid[member[a:b], at[a:b] - low] = 1
-            grids.append(grid)
-        out += grids[0] @ grids[1].T
-    return out
-
-
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(key, node, root, hub)`` of the buckets that hold several components; hub is the one with most members."""
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    hubs = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("hub"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return placed.join(hubs.select("key", "hub"), "key")
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [_wide(raw) for raw in batch.column(1).to_pylist()]
+        if parts:
+            owner = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(parts).view(np.int64))], ["d", "cell"])
 
 
-def _joined(spark, roots: DataFrame, links: DataFrame) -> DataFrame:
-    return checkpointed(spark, components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(links)))
+def _spread(side: DataFrame) -> DataFrame:
+    """Each key's row once for every salt of its ``n`` members."""
+    salts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / SALT_ROWS) - 1)
+    return side.withColumn("salt", F.explode(salts))
 
 
-def classes(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """``(id, class_id)``, one row a document; class_id is the smallest id of its class of near copies."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed = checkpointed(spark, docs.mapInArrow(_signing(shingle, bands, rows), "id long, digest binary, keys array<long>"))
-    nodes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys"))
-    nodes = checkpointed(spark, nodes)
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = checkpointed(spark, members.join(buckets, "key").select("key", "node", "lead", "n"))
-    pairs = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = checkpointed(spark, pairs)
-    wanted = checkpointed(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    n = wanted.count()
-    profiles = docs.join(sized(wanted, n), "id", "left_semi").mapInArrow(_profiles(shingle), "id long, cells binary")
-    profiles = checkpointed(spark, profiles.dropDuplicates(["id"]))
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(key, salt, n, d, root, hub)`` of the buckets that hold several components; hub is the one with most members."""
+    of = roots.select(F.xxhash64("node").alias("d"), F.xxhash64("root").alias("root")).dropDuplicates(["d"])
+    placed = members.join(of, "d", "left").select("key", "salt", "n", "d", F.coalesce("root", "d").alias("root"))
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"), F.first("n").alias("n"))
+    hubs = parts.groupBy("key").agg(F.max(F.struct("own", "root")).alias("hub"), F.count(F.lit(1)).alias("parts"), F.first("n").alias("n")).where("parts > 1")
+    return placed.join(_spread(hubs.select("key", "n", "hub.root")).select("key", "salt", F.col("root").alias("hub")), ["key", "salt"])
+
+
+def _across(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of texts of different components among which are all that are alike enough: an exact prefix join."""
+    spark = rest.sparkSession
+    held = checkpointed(spark, rest.join(profiles, "d").select("d", "root", "cells"))
+    cells = held.select("d", "cells").mapInArrow(_cells, "d long, cell long")
+    counted = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    known = cells.join(counted, "cell").groupBy("d").agg(F.collect_list("cell").alias("frequent"), F.collect_list("texts").alias("counts"))
+    first = held.join(known, "d").select("d", "cells", "frequent", "counts").mapInArrow(_opening(threshold), "d long, cell long")
+    first = checkpointed(spark, first.join(held.select("d", "root"), "d"))
+    several = first.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    first = first.join(several, "cell")
+    left, right = first.select("cell", F.col("d").alias("a"), F.col("root").alias("x")), first.select("cell", F.col("d").alias("b"), F.col("root").alias("y"))
+    return left.join(right, "cell").where("a < b and x <> y").select("a", "b").distinct()
+
+
+def _linked(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows ``(id, mark, digest)``, digests with their first row (``first``: none, id, mark), and components ``(node, root)`` of linked digests."""
+    spark = docs.sparkSession
+    signed = checkpointed(spark, docs.mapInArrow(_signing(shingle, bands, rows), "id long, mark long, digest binary, keys array<long>"))
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    nodes = signed.where("digest is not null").groupBy("digest").agg(F.min(own).alias("first"), F.first("keys").alias("keys"))
+    nodes = checkpointed(spark, nodes.withColumn("d", F.xxhash64("digest")))
+    members = nodes.select("d", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("d").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = checkpointed(spark, members.join(buckets, "key").select("key", "d", "lead", "n"))
+    pairs = checkpointed(spark, shared.where("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct())
+    wanted = checkpointed(spark, nodes.join(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "d").select("first.id", "first.mark"))
+    wanted = sized(wanted)
+    held = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["mark"] == wanted["mark"]), "left_semi")
+    profiles = held.mapInArrow(_profiles(shingle), "digest binary, cells binary").dropDuplicates(["digest"])
+    profiles = checkpointed(spark, profiles.withColumn("d", F.xxhash64("digest")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = profiles.select(F.col("id").alias("a"), F.col("cells").alias("left")), profiles.select(F.col("id").alias("b"), F.col("cells").alias("right"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_verifying(threshold), "a long, b long")
+        left, right = (profiles.select(F.col("d").alias(x), F.col("digest").alias(f"{x}_node"), F.col("cells").alias(f"{x}_cells")) for x in "ab")
+        both = pairs.join(right, "b").join(left, "a").where("a_node <> b_node").select("a_node", "b_node", "a_cells", "b_cells")
+        return checkpointed(spark, both.mapInArrow(_verifying(threshold), "a binary, b binary"))
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return checkpointed(spark, components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(links)))
 
-    links = checkpointed(spark, verified(pairs))
-    roots = checkpointed(spark, components(spark, links))
-    several = checkpointed(spark, shared.where("n > 2").select("key", "node"))
+    roots = checkpointed(spark, components(spark, verified(pairs)))
+    several = shared.where("n > 2").select("key", "d", "n", F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / SALT_ROWS)).alias("salt"))
     for turn in range(HUB_ROUNDS):
-        mixed = _mixed(several, roots)
-        hubs = mixed.where("root = hub").groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
-        tries = mixed.where("root <> hub").join(hubs, "key").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        more = checkpointed(spark, verified(checkpointed(spark, tries.distinct())))
+        mixed = checkpointed(spark, _mixed(several, roots))
+        hubs = mixed.where("root = hub").groupBy("key").agg(F.min(F.struct(F.xxhash64("d", F.lit(turn)), "d"))["d"].alias("a"), F.first("n").alias("n"))
+        tries = mixed.where("root <> hub").join(_spread(hubs).select("key", "salt", "a"), ["key", "salt"]).select(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b"))
+        more = verified(checkpointed(spark, tries.distinct()))
         if more.isEmpty():
             break
-        roots = _joined(spark, roots, more)
-    # What is still apart in a bucket is compared in full, block by block.
-    rest = checkpointed(spark, _mixed(several, roots).select("key", "node", "root"))
+        roots = joined(roots, more)
+    rest = checkpointed(spark, _mixed(several, roots).select("d", "root").distinct())
     if not rest.isEmpty():
-        counted = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        parts = rest.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        parts = parts.join(profiles, parts["node"] == profiles["id"]).select("key", "block", F.struct("node", "root", "cells").alias("member"))
-        parts = checkpointed(spark, parts.groupBy("key", "block").agg(F.collect_list("member").alias("members")))
-        left, right = parts.select("key", F.col("block").alias("i"), F.col("members").alias("left")), parts.select("key", F.col("block").alias("j"), F.col("members").alias("right"))
-        more = left.join(right, "key").where("i <= j").select("left", "right").mapInArrow(_linking(threshold), "a long, b long")
-        more = checkpointed(spark, more.distinct())
+        more = verified(checkpointed(spark, _across(rest, profiles, threshold)))
         if not more.isEmpty():
-            roots = _joined(spark, roots, more)
-    ids = signed.groupBy("id").agg(F.max("digest").alias("digest"))
-    found = ids.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
-    return found.select(F.col("id").alias(id_col), F.coalesce("root", "node", "id").alias("class_id"))
+            roots = joined(roots, more)
+    return signed.drop("keys"), nodes.select("digest", "first"), roots
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """``(id, mark, first)`` of every row: ``first`` is the first row (none, id, mark) of its class, null where the text is."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    signed, nodes, roots = _linked(docs, shingle, threshold, bands, rows)
+    placed = roots.join(nodes.withColumnRenamed("digest", "node"), "node")
+    leads = checkpointed(df.sparkSession, placed.groupBy("root").agg(F.min("first").alias("lead")))
+    lead = roots.join(sized(leads), "root").select(F.col("node").alias("digest"), "lead")
+    found = nodes.join(lead, "digest", "left").select("digest", F.coalesce("lead", "first").alias("first"))
+    return signed.join(found, "digest", "left").select("id", "mark", "first")
+
+
+def classes(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """``(id, class_id)``, one row an id; class_id is the smallest id of its class of near copies."""
+    spark = df.sparkSession
+    judged = checkpointed(spark, _judged(df, id_col, text_col, shingle, threshold, bands, rows).where("id is not null").select("id", F.col("first.id").alias("own")))
+    found = checkpointed(spark, judged.groupBy("id").agg(F.min("own").alias("own"), F.max("own").alias("last")))
+    several = found.where("own < last").select("id")
+    if several.isEmpty():
+        return found.select(F.col("id").alias(id_col), F.coalesce("own", "id").alias("class_id"))
+    # The texts of an id belong together: the classes that it joins are one.
+    edges = judged.where("own is not null").join(several, "id").select(F.col("id").alias("a"), F.col("own").alias("b"))
+    roots = checkpointed(spark, components(spark, edges.union(several.select("id", "id").toDF("a", "b")).distinct()))
+    found = found.withColumn("node", F.coalesce("own", "id")).join(roots, "node", "left")
+    return found.select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("class_id"))
+
+
+def later_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """``(id, mark)`` of the rows that aren't their class's first: the smallest id, then the smallest ``mark`` (``xxhash64`` of the text).
+
+    Rows are judged by their texts: different texts under one id don't stand for each other. Rows
+    that repeat id and text are all first, or none of them is.
+    """
+    judged = _judged(df, id_col, text_col, shingle, threshold, bands, rows).where("first is not null")
+    return judged.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))).select("id", "mark").distinct()
