@@ -5,9 +5,9 @@ every line, the shortest run of lines that together have ``min_chars`` character
 documents can lose to each other holds such a run, and each of its lines lies in one, so
 documents without a shared run need no alignment, and lines outside shared runs stay. Each
 holder of a run is aligned with the run's first holder. Where lines of a shared run still stand,
-the document is aligned with the run's next ``rare`` holders, then with ``rare`` times as many,
-until the lines go or every earlier holder was tried. The result is that of all pairs.
-Each linked pair is aligned by
+the document is aligned with about ``rare`` more holders of the run, chosen by hash, then with
+``rare`` times as many, until the lines go or every earlier holder was tried. The result is that
+of all pairs. Each linked pair is aligned by
 patience diff: lines that occur once on both sides and keep their order (longest increasing
 subsequence) are anchors, and the stretches between are aligned in the same way. Runs of
 aligned lines with at least ``min_chars`` characters are deleted from the document with the
@@ -16,14 +16,17 @@ larger id. Documents are judged as they came in, so what a line's first document
 Scale: what is shuffled are line hashes and, for linked pairs, both documents' hash lists;
 texts meet their deletions by a broadcast of the deletions only if these are few (counted),
 else by a shuffle. A pair's lists are bounded by the documents' own lines. Copies of a list of
-lines are judged without alignment, and only the first one is a holder. Pairs beyond those with
+lines are judged without alignment, and only the first one is a holder. A run's holders are
+never ranked or gathered: which of them are tried next follows from a hash and their number, so
+a frequent run needs only sums and joins, whose partitions Spark splits. Pairs beyond those with
 first holders are made only for lines that stand, so only lines that many documents share and
 that align with none of them (repeated inside each, say) cost pairs of all their holders.
 
-Cases: lines are split at line feeds and compared without white space at their ends; blank
-lines never match and never go. A null or empty text is unchanged. Rows that share an id are
-not compared with each other; each row loses its own lines. Copies of a text lose all but
-their blank and short lines, except for the smallest id. Other columns are kept as they are.
+Cases: lines are split at line feeds and compared without white space (of Unicode) at their
+ends; blank lines never match and never go. A null or empty text is unchanged. Rows that share
+an id are not compared with each other; each row loses its own lines. Copies of a text lose all
+but their blank and short lines, except for the smallest id. Other columns are kept as they are.
+Lines and runs are compared by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -40,10 +43,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .graphs import BROADCAST_ROWS, sized
-from .text import checkpointed, mix, powers
+from .text import checkpointed, mix, powers, release
 
 RARE, MIN_CHARS = 8, 25
-KEY_CHARS = 12  #: bounds no search; tests compare with brute force over lines of this length
+#: What Unicode counts as white space, but for the line feed.
+BLANKS = " \t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -130,8 +134,8 @@ def runs_of(h: np.ndarray, n: np.ndarray, first: np.ndarray, min_chars: int) ->
 def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(id, mark, lines)``: line numbers to delete from the row with this id and text hash."""
     spark = df.sparkSession
-    pieces = F.split(F.col(text_col), "\n")
-    line = F.transform(pieces, lambda x, i: F.struct(F.xxhash64(F.trim(x)).alias("h"), i.alias("i"), F.length(F.trim(x)).alias("n")))
+    pieces = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(x, F.lit(BLANKS)))
+    line = F.transform(pieces, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("i"), F.length(x).alias("n")))
     docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.filter(line, lambda x: x["n"] > 0).alias("line"))
     docs = docs.select("id", "mark", F.col("line.h").alias("h"), F.col("line.i").alias("i"), F.col("line.n").alias("n"))
     docs = docs.where(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y) >= min_chars)  # the others hold no run
@@ -153,12 +157,14 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
             own = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
             own = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(i[own], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(doc), batch.column("mark").take(doc), pa.array(key.view(np.int64)), own], ["id", "mark", "key", "own"])
+        release()
 
     runs = docs.select("id", "mark", "h", "i", "n").mapInArrow(find, "id long, mark long, key long, own array<int>")
-    shared = runs.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    turn = F.dense_rank().over(Window.partitionBy("key").orderBy("id"))
-    held = checkpointed(spark, runs.join(shared, "key").withColumn("turn", turn))
-    holders = held.select("key", F.col("id").alias("a"), F.col("turn").alias("nth")).distinct()
+    shared = runs.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
+    # A holder's place among a run's holders in an order by hash, but for chance; places are from 0 to their number.
+    place = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 32)) * F.col("n") / F.lit(float(1 << 32))
+    held = checkpointed(spark, runs.join(shared, "key").withColumn("place", place))
+    holders = held.select("key", F.col("id").alias("a"), "place").distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,25 +177,27 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
                     marks.append(batch.column(1)[k].as_py())
                     gone.append(i[found].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["id", "mark", "lines"])
+        release()
 
     def aligned(pairs: DataFrame) -> DataFrame:
         later = pairs.join(docs.withColumnRenamed("id", "b"), "b")
         both = later.join(docs.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").select("b", "mark", "h", "i", "n", "x")
         return _merged(both.mapInArrow(align, "id long, mark long, lines array<int>"))
 
-    gone = checkpointed(spark, aligned(held.where("turn > 1").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
-    standing = held.where("turn > 1").select("id", "mark", "key", "own", "turn")
-    tried, more, latest = 1, max(rare, 2), gone
+    later = held.where("id > first")
+    gone = checkpointed(spark, aligned(later.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
+    standing = later.where("n > 2").select("id", "mark", "key", "own", "first", "n")
+    tried, more, latest = 0, max(rare, 2), gone
     found = [copies, gone]
     while True:
-        standing = standing.where(F.col("turn") > tried + 1).join(latest, ["id", "mark"], "left")
+        standing = standing.where(F.col("n") > tried).join(latest, ["id", "mark"], "left")
         standing = standing.withColumn("own", F.when(F.col("lines").isNull(), F.col("own")).otherwise(F.array_except("own", "lines"))).where(F.size("own") > 0).drop("lines")
         standing = checkpointed(spark, standing)
         if standing.isEmpty():
             break
-        wanted = standing.select("key", F.col("id").alias("b"), F.col("turn")).distinct()
-        near = holders.where((F.col("nth") > tried) & (F.col("nth") <= tried + more))
-        pairs = wanted.join(near, "key").where("nth < turn").select("a", "b").distinct()
+        wanted = standing.select("key", F.col("id").alias("b"), "first").distinct()
+        near = holders.where((F.col("place") >= tried) & (F.col("place") < tried + more))
+        pairs = wanted.join(near, "key").where("a < b and a <> first").select("a", "b").distinct()
         latest = checkpointed(spark, aligned(pairs))
         found.append(latest)
         tried, more = tried + more, more * max(rare, 2)
@@ -213,7 +221,10 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
             drop = set(lines)
             text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
         out.append(text)
-    return pa.array(out, pa.string())
+    found = pa.array(out, pa.string())
+    del out
+    release()
+    return found
 
 
 _without = _without.asNondeterministic()  # else a filter on the new text would have it made twice

@@ -140,6 +140,50 @@ def test_near_duplicates_odd(spark, nothing):
     assert sorted(map(tuple, neardup.classes(df).collect())) == [(1, 1), (2, 1), (3, 3)]
 
 
+SHARED = [(7, "a b c d e f g"), (7, "p q r s t u v"), (3, "A b c d e, f g"), (4, "p q r s t u v!"), (9, None), (9, "nothing else"), (10, None), (None, "p q r s t u v"), (None, "alone here")]
+
+
+def test_rows_that_share_an_id_are_one_whatever_their_order(spark, rng):
+    for turn in range(3):
+        rows = SHARED[::-1] if turn == 0 else rng.sample(SHARED, len(SHARED))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted(map(tuple, neardup.classes(df).collect())) == [(3, 3), (4, 3), (7, 3), (9, 9), (10, 10)]
+
+
+def test_later_copies_are_judged_by_their_texts(spark):
+    df = spark.createDataFrame(SHARED, "doc_id long, text string")
+    marks = {r.m: r.text for r in df.selectExpr("xxhash64(text) as m", "text").collect()}
+    got = sorted(((r.id, marks[r.mark]) for r in neardup.later_copies(df).collect()), key=str)
+    assert got == [(7, "a b c d e f g"), (7, "p q r s t u v"), (None, "p q r s t u v")]
+
+
+def test_texts_of_several_components_in_a_bucket(spark, rng):
+    """A template with parts of their own: many share buckets, few are alike, some only with a member that isn't the bucket's first."""
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        at = rng.randrange(150)
+        own[at : at + 40] = [f"g{i % 30 if i < 90 else i}x{j}" for j in range(40)]
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(200)] = f"e{i}{rng.random()}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(df, bands=80, rows=1).collect()}
+    assert got == expected_classes(rows) and 20 < len(set(got.values())) < 150
+
+
+def test_prefix_join_finds_all_pairs(spark, rng):
+    rows = [(d, frozenset(rng.sample(range(60), rng.randint(1, 25)))) for d in range(120)]
+    rows += [(200 + d, frozenset(rng.sample(sorted(own), max(1, len(own) - 2))) | {70 + d}) for d, own in rows[:60]]
+    pack = lambda own: bytearray(b"".join(c.to_bytes(6, "little") for c in sorted(own)))
+    profiles = spark.createDataFrame([(d, pack(own)) for d, own in rows], "d long, cells binary")
+    rest = profiles.selectExpr("d", "d % 37 as root")
+    got = {(r.a, r.b) for r in neardup._across(rest, profiles, 0.6).collect()}
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and a % 37 != b % 37 and len(x & y) >= 0.6 * len(x | y)}
+    assert want and want <= got and len(got) < len(rows) ** 2 / 4
+
+
 def test_darts_agree_as_often_as_alike(rng):
     base = [f"w{rng.randrange(3000)}" for _ in range(300)]
     other = base[:240] + [f"v{rng.randrange(3000)}" for _ in range(60)]
@@ -160,37 +204,69 @@ def test_components_both_ways(spark, rng):
     assert few == many and few[1040] == 1000
 
 
-def test_line_dedup(documents, corpus):
-    got = {r.doc_id: r for r in linededup.remove_common_blocks(documents).collect()}
-    lines = {i: [(x.strip(" "), k) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")] for i, t in corpus}
-    held = defaultdict(list)
-    for i in sorted(lines):
-        for x in {x for x, _ in lines[i] if len(x) >= linededup.KEY_CHARS}:
-            held[x].append(i)
-    pairs = set()
-    for ids in held.values():
-        pairs |= {(a, b) for a in ids for b in ids if a < b} if len(ids) <= linededup.RARE else {(ids[0], b) for b in ids[1:]}
-    gone = defaultdict(set)
-    for a, b in pairs:
-        x, y = ([t for t, _ in lines[i]] for i in (a, b))
-        for j in linededup.common_blocks(x, y, [len(t) for t in y], linededup.MIN_CHARS):
-            gone[b].add(lines[b][j][1])
-    for i, t in corpus:
-        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
-        assert (got[i].text, got[i].removed_lines, got[i].source) == (want, len(gone[i]), f"src{i % 3}")
-    assert sum(map(len, gone.values())) > 50
+BLANK = " \t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000"
+
+
+def aligned(a, b):
+    """Patience diff as the books have it: common ends, lines that are unique on both sides, their longest increasing run, and again between."""
 
+    def between(i, k, j, m):
+        if i < k and j < m and a[i] == b[j]:
+            return [(i, j), *between(i + 1, k, j + 1, m)]
+        if i < k and j < m and a[k - 1] == b[m - 1]:
+            return [*between(i, k - 1, j, m - 1), (k - 1, m - 1)]
+        x, y = a[i:k], b[j:m]
+        unique = [(i + x.index(v), j + at) for at, v in enumerate(y) if x.count(v) == 1 and y.count(v) == 1]
+        if not unique:
+            return []
+        run = []  # of each pair: the length of the longest run up to it; the pair before it is the latest with one less
+        for at, (p, _) in enumerate(unique):
+            run.append(1 + max((run[e] for e in range(at) if unique[e][0] < p), default=0))
+        at = max(e for e in range(len(run)) if run[e] == max(run))
+        chain = [unique[at]]
+        while run[at] > 1:
+            at = max(e for e in range(at) if run[e] == run[at] - 1)
+            chain.insert(0, unique[at])
+        out, at = [], (i - 1, j - 1)
+        for p, q in [*chain, (k, m)]:
+            out += [*between(at[0] + 1, p, at[1] + 1, q), (p, q)]
+            at = p, q
+        return out[:-1]
 
-def all_pairs(rows):
+    return between(0, len(a), 0, len(b))
+
+
+def all_pairs(rows, least=25):
     """What line dedup leaves of the texts if every pair of them is aligned."""
-    lines = {i: [(x.strip(" "), k) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")] for i, t in rows}
-    gone = defaultdict(set)
-    for a in lines:
-        for b in lines:
-            if a < b:
-                x, y = ([t for t, _ in lines[i]] for i in (a, b))
-                gone[b] |= {lines[b][j][1] for j in linededup.common_blocks(x, y, [len(t) for t in y], linededup.MIN_CHARS)}
-    return {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+    lines = [[(x.strip(BLANK), k) for k, x in enumerate((t or "").split("\n")) if x.strip(BLANK)] for _, t in rows]
+    gone = [set() for _ in rows]
+    for (i, _), first in zip(rows, lines):
+        for n, (j, _) in enumerate(rows):
+            if i is None or j is None or i >= j or not {x for x, _ in first} & {x for x, _ in lines[n]}:
+                continue
+            y, block = lines[n], []
+            pairs = aligned([x for x, _ in first], [x for x, _ in y])
+            for at, (p, q) in enumerate(pairs):
+                block = [*block, q] if at and pairs[at - 1] == (p - 1, q - 1) else [q]
+                if at + 1 == len(pairs) or pairs[at + 1] != (p + 1, q + 1):
+                    if sum(len(y[x][0]) for x in block) >= least:
+                        gone[n] |= {y[x][1] for x in block}
+    return [(i, t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in own), len(own)) for (i, t), own in zip(rows, gone)]
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def left(df, **how):
+    return by_id((r.doc_id, r.text, r.removed_lines) for r in linededup.remove_common_blocks(df, **how).collect())
+
+
+def test_line_dedup(documents, corpus):
+    got = {r.doc_id: r for r in linededup.remove_common_blocks(documents).collect()}
+    want = all_pairs(corpus)
+    assert {i: (r.text, r.removed_lines, r.source) for i, r in got.items()} == {i: (t, n, f"src{i % 3}") for i, t, n in want}
+    assert sum(n for _, _, n in want) > 50
 
 
 @pytest.mark.parametrize("rare", [2, linededup.RARE])
@@ -202,17 +278,29 @@ def test_line_dedup_of_frequent_lines(spark, rng, rare):
         own += own[:1] * rng.randint(0, 1)
         rng.shuffle(own)
         rows.append((i, "\n".join(own)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linededup.remove_common_blocks(df, rare=rare).collect()}
-    assert got == all_pairs(rows)
+    assert left(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare) == by_id(all_pairs(rows))
+
+
+def test_line_dedup_of_adjacent_short_lines_that_many_share(spark):
+    """Two short lines that only together are long enough, each of which other documents open or close with."""
+    low, mid = "fifteen letters", "letters fifteen"
+    rows = [(0, f"{low}\nx0"), (1, f"x1\n{mid}")] + [(2 + i, f"head {i}\n{low}\n{mid}\ntail {i}") for i in range(13)]
+    got = left(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == by_id(all_pairs(rows)) and [n for _, _, n in got] == [0, 0, 0] + [2] * 12
+
+
+def test_line_dedup_ignores_white_space_at_the_ends(spark):
+    line = "the same words in every file"
+    rows = [(1, f"{line}\nfirst"), (2, f"\t{line}\r\nsecond\r\n"), (3, f"third\n\u00a0{line}\u2003"), (4, "\t\n \r\n" * 20), (5, "\t\n \r\n" * 20)]
+    got = left(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == by_id(all_pairs(rows)) and [n for _, _, n in got] == [0, 1, 1, 0, 0]
 
 
 def test_line_dedup_of_short_lines(spark):
     menu = ["home", "products", "about us", "contact", "login"]
     rows = [(1, "\n".join(["the first", *menu])), (2, "\n".join([*menu, "the next"])), (3, "home\nlogin\nalone")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linededup.remove_common_blocks(df).collect()}
-    assert got == all_pairs(rows) and got[2] == "the next"
+    got = left(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == by_id(all_pairs(rows)) and got[1][1] == "the next"
 
 
 def test_line_dedup_odd(spark, nothing):
