@@ -6,19 +6,26 @@ them up. Window lengths come from a short list of scales: a template uses the la
 ``w`` with ``w + stride - 1`` shingles or less, so an unchanged copy of it always holds a
 document window that equals a template window, which collides for certain; a window of
 Jaccard similarity ``j`` collides with probability ``1 - (1 - j^rows)^bands``
-(:func:`collision_probability`, 0.9997 at 0.8 by default). Each retrieved place is verified
-exactly: the share of the template's shingles that the text holds there.
+(:func:`collision_probability`, 0.9997 at 0.8 by default). Around the places that were retrieved
+every stretch of up to ``spread`` times the template's length is verified exactly: the share of
+the template's shingles that it holds. So words may be changed, cut out or put in, a sentence
+in the middle as well.
 
 Scale: documents are scanned once, nothing is shuffled. The templates' size is checked
-(``MAX_SHINGLES``) before they are broadcast; a longer list can be scanned in parts.
+(``MAX_SHINGLES``) before they are broadcast; a longer list can be scanned in parts. Verifying
+takes time in proportion to the shingles found, however often a text repeats a notice.
 
 Cases: null and empty texts, and texts of fewer than three words, have no match. Words are
-runs of ASCII letters, digits and non-ASCII characters, in lower case. Overlapping matches
-of one template count once, the best (then the first) staying. Every occurrence is a row.
+runs of ASCII letters, digits and non-ASCII characters, in lower case. Of overlapping matches
+of one template the best counts (then the shortest, then the first); beside it others are looked
+for. Every occurrence is a row; a row is judged by itself, so repeated rows and ids repeat their
+matches, and a null id stays null. Only id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +36,8 @@ from pyspark.sql import functions as F
 from .text import ALNUM_HIGH, chunks, mix, rolling, starts_inside, words_of
 
 SHINGLE, BANDS, ROWS, CONTAINMENT, MAX_SHINGLES = 3, 8, 2, 0.8, 1_000_000
+#: A match's longest stretch of shingles, as a multiple of its template's.
+SPREAD = 2.0
 #: Window lengths in shingles, with the distance of a document's windows.
 SCALES = ((1, 1), (3, 1), (6, 1), (12, 3), (24, 6))
 
@@ -120,52 +129,93 @@ class Index:
         used = {max(w for w, stride in SCALES if w + stride - 1 <= n) for n in self.lengths}
         self.scales = [w for w, _ in SCALES if w in used]
 
-    def matches(self, texts: list[bytes], least: float) -> list[list[tuple[int, int, int, float]]]:
+    def matches(self, texts: list[bytes], least: float, spread: float = SPREAD) -> list[list[tuple[int, int, int, float]]]:
         """By text: ``(template, first word, end word, containment)``."""
         words = words_of(texts, ALNUM_HIGH, lower=True)
         shingles = rolling(words.hash, SHINGLE)
+        local = np.arange(len(shingles)) - words.first[words.doc[: len(shingles)]]
         places = [np.zeros((0, 2), np.int64)]
         for w, _, keys in _bands(shingles, self.scales, self.bands, self.rows):
-            stride = dict(SCALES)[w]
-            at = np.flatnonzero(self.sieve[(keys[::stride] >> np.uint64(46)).astype(np.int64)]) * stride
+            at = np.flatnonzero(self.sieve[(keys >> np.uint64(46)).astype(np.int64)])
+            at = at[(local[at] % dict(SCALES)[w] == 0) & (words.doc[at] == words.doc[at + w + SHINGLE - 2])]
             left, right = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
             n = right - left
             entry = np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            at = np.repeat(at, n)
-            one = words.doc[at] == words.doc[np.minimum(at + w + SHINGLE - 2, len(words) - 1)]
-            places.append(np.stack([self.where[entry, 0], at - self.where[entry, 1]], 1)[one])
-            places.append(np.stack([self.where[entry, 0], at], 1)[one])  # where something was cut out before it
+            places.append(np.stack([self.where[entry, 0], np.repeat(at, n)], 1))
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        doc_at = lambda p: int(words.doc[min(max(p, 0), len(words) - 1)])
-        seen: dict[tuple[int, int], list] = {}
-        for template, begin in np.unique(np.concatenate(places), axis=0).tolist():
-            length, own = self.lengths[template], self.sets[template]
-            slack = length // 4
-            d = doc_at(max(begin, 0)) if begin >= 0 else 0
-            a = max(begin, int(words.first[d]))
-            for end in (begin + length, begin + length + slack):
-                b = min(end, int(words.first[d + 1]) - SHINGLE + 1)
-                if b <= a:
-                    continue
-                held = np.isin(shingles[a:b], own)
-                share = len(np.unique(shingles[a:b][held])) / len(own)
-                if share >= least:
-                    first, last = np.flatnonzero(held)[[0, -1]]
-                    seen.setdefault((d, template), []).append((-share, a + int(first), a + int(last) + SHINGLE))
-                    break
-        for (d, template), found in seen.items():
-            kept: list[tuple[int, int]] = []
-            for share, a, b in sorted(found):
-                if all(b <= x or a >= y for x, y in kept):
-                    kept.append((a, b))
-                    base = int(words.first[d])
-                    out[d].append((template, a - base, b - base, -share))
+        found = np.unique(np.concatenate(places), axis=0)
+        for template in np.unique(found[:, 0]).tolist():
+            own, at = self.sets[template], found[found[:, 0] == template, 1]
+            width = int(np.ceil(spread * self.lengths[template]))
+            doc = words.doc[at]
+            begin, end = np.maximum(at - width + 1, words.first[doc]), np.minimum(at + width, np.maximum(words.first[doc + 1] - SHINGLE + 1, words.first[doc]))
+            new = np.flatnonzero(np.r_[True, (begin[1:] > np.maximum.accumulate(end)[:-1]) | (doc[1:] != doc[:-1])])
+            for a, b, d in zip(begin[new].tolist(), np.maximum.reduceat(end, new).tolist(), doc[new].tolist(), strict=True):
+                which = np.minimum(np.searchsorted(own, shingles[a:b]), len(own) - 1)
+                held = np.flatnonzero(own[which] == shingles[a:b])
+                base = a - int(words.first[d])
+                for first, last, share in stretches(held.tolist(), which[held].tolist(), width, least, len(own)):
+                    out[d].append((template, base + first, base + last + SHINGLE, share))
         return [sorted(x) for x in out]
 
 
+def stretches(at: list[int], which: list[int], width: int, least: float, total: int) -> list[tuple[int, int, float]]:
+    """Stretches ``(first, last, share)`` of at most ``width`` places that hold ``least`` of ``total`` kinds.
+
+    ``at``: places of things in order, ``which``: their kinds. The best stretch counts (of most
+    kinds, then the shortest, then the first), then the best that doesn't overlap it, and so on;
+    what then lies between them is searched again.
+    """
+    need = max(1, int(np.ceil(least * total - 1e-9)))
+    kept: list[tuple[int, int, float]] = []
+    todo = [(0, len(at))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < need:
+            continue
+        own: list[tuple[int, int]] = []  # indexes of first and last, ascending and apart
+        for kinds, _, i, j in sorted(_candidates(at[a:b], which[a:b], width, need)):
+            i, j = i + a, j + a
+            k = bisect_left(own, (i, j))
+            if (k == 0 or own[k - 1][1] < i) and (k == len(own) or j < own[k][0]):
+                own.insert(k, (i, j))
+                kept.append((at[i], at[j], -kinds / total))
+        if own:
+            todo += zip([a, *(j + 1 for _, j in own)], [*(i for i, _ in own), b], strict=True)
+    return kept
+
+
+def _candidates(at: list[int], which: list[int], width: int, need: int) -> Iterator[tuple[int, int, int, int]]:
+    """From each place on: minus the kinds within ``width``, the length that has them all, and the indexes of its ends."""
+    after, seen = [0] * len(at), {}
+    for i in range(len(at) - 1, -1, -1):
+        after[i] = seen.get(which[i], -1)
+        seen[which[i]] = i
+    count: dict[int, int] = {}
+    firsts: list[int] = []  # where each kind within reach comes first, the last of these on top
+    kinds = right = 0
+    for i, place in enumerate(at):
+        while right < len(at) and at[right] < place + width:
+            n = count.get(which[right], 0)
+            if not n:
+                kinds += 1
+                heapq.heappush(firsts, -right)
+            count[which[right]] = n + 1
+            right += 1
+        if kinds >= need:
+            last = -firsts[0]
+            yield -kinds, at[last] - place, i, last
+        count[which[i]] -= 1
+        if count[which[i]]:
+            heapq.heappush(firsts, -after[i])
+        else:
+            kinds -= 1
+
+
 def scan(
-    df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
+    df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, bands: int = BANDS, rows: int = ROWS,
+    spread: float = SPREAD,
+) -> DataFrame:
     """``(id, license_id, start_word, end_word, containment)``, a row for each verified match."""
     shared = df.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES, bands, rows))
     kind = df.schema[id_col].dataType.simpleString()
@@ -173,7 +223,7 @@ def scan(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for _, texts, part in chunks(batches):
-            rows = [(i, index.names[t], a, b, c) for i, found in enumerate(index.matches(texts, containment)) for t, a, b, c in found]
+            rows = [(i, index.names[t], a, b, c) for i, found in enumerate(index.matches(texts, containment, spread)) for t, a, b, c in found]
             take = pa.array([r[0] for r in rows], pa.int64())
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds, 1)]
