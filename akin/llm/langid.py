@@ -4,8 +4,10 @@ Each learned language has one model of four-character grams. Spark counts the gr
 training texts (tasks pre-count, so the shuffle carries each distinct gram once a task);
 the counts become interpolated Kneser-Ney probabilities, kept in sorted hash arrays that are
 shared by the languages, one array an order. A text gets the language with the least
-cross-entropy per character. It is rejected where that cross-entropy lies beyond what
-training texts of the language show, given the text's length.
+cross-entropy per character. It is rejected where that cross-entropy lies beyond what texts of
+the language show, given the text's length. The score is the odds that the languages' cross-entropies
+give; how fast these odds grow with length is what makes scores most likely. Both are
+calibrated on labelled rows that are kept out of the counts; beyond the limit of rejection the score falls on.
 
 Characters: letters and marks in lower case, anything else is a space, and runs of spaces
 are one. Letters outside the basic plane share the 6,400 private-use codes.
@@ -14,12 +16,14 @@ Scale: a text is scored where it is read, nothing is shuffled. Up to ``max_grams
 the broadcast model. Of more, Spark estimates counts, discounts and continuation counts over all
 grams; then each order of the model keeps about ``sqrt(max_grams * grams)`` of them, which grows
 with the corpus. Languages share this evenly, and what a small one leaves goes to the larger; each
-keeps its most frequent grams, and the others' probability goes to the shorter grams. Calibration
-uses about ``calibration_rows`` training rows, and ``LABEL_ROWS`` of each label (all if fewer).
+keeps its most frequent grams, and the others' probability goes to the shorter grams. For calibration
+about ``calibration_rows`` labelled rows are kept out, and ``LABEL_ROWS`` of each label, but a fifth of a
+label's rows at most and none of labels with fewer than five rows (a limit pooled from all labels serves these).
 
 Cases: a null text and one without a letter is ``und``, rejected, with score 0. Without any
 training row all texts are ``und``. Ties go to the language that sorts first. Labels of null
-are not learned from. Repeated rows count as often as they occur.
+are not learned from. Repeated rows count as often as they occur, and are kept out together. Texts of
+any length are read whole. Further columns are kept; one that has the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,8 @@ ORDER, SPACE = 4, 0x20
 CHUNK = 2 << 20
 MAX_GRAMS, CALIBRATION_ROWS = 1_000_000, 4_000
 LABEL_ROWS, LABEL_GRAMS = 200, 1_000
+#: Share of a label's rows that may be kept out of the counts; labels of fewer rows keep none out.
+KEPT_OUT, LEAST_ROWS = 0.2, 5
 RESULT = "lang_pred string, score double, rejected boolean, cross_entropy double"
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -224,6 +231,8 @@ class Model:
         self.floor = np.log([k.floor for k in models]).astype(np.float32)
         #: By language: mean and spread of training texts' cross-entropy, and the spread that falls with length.
         self.usual = np.tile([0.0, np.inf, 0.0], (len(self.langs), 1))
+        #: The odds of two languages are ``exp(-gap * steep * n ** power)`` for a text of n characters.
+        self.steep, self.power = 4.0, 0.5
 
     def log_probability(self, packed: np.ndarray, m: int = ORDER) -> np.ndarray:
         if m == 0:
@@ -260,21 +269,31 @@ class Model:
         self.usual[:] = _usual(e, length)  # pooled, for a language without rows here
         for i in np.unique(column):
             self.usual[i] = _usual(e[column == i], length[column == i])
+        if len(column) < 20 or len(self.langs) < 2:
+            return
+        gaps, unsure = entropy[known] - entropy[known].min(1)[:, None], 1 / (len(column) + 2)
+        costs = {}
+        for steep, power in product(2.0 ** np.arange(-2, 8), (0.0, 0.25, 0.5, 0.75, 1.0)):
+            odds = np.exp(-gaps * (steep * length**power)[:, None])
+            right = odds[np.arange(len(column)), column] / odds.sum(1)
+            costs[steep, power] = -np.mean((1 - unsure) * np.log(right + 1e-30) + unsure * np.log(1 - right + 1e-30))
+        self.steep, self.power = min(costs, key=lambda at: (costs[at], at))
 
     def predict(self, texts: list[bytes], strictness: float) -> dict[str, np.ndarray]:
         entropy, n, letters = self.cross_entropy(texts)
         best = entropy.argmin(1)
         row = np.arange(len(texts))
         least = entropy[row, best]
-        # The evidence of neighbouring characters overlaps, so it grows with the root of their number.
-        odds = np.exp(-(entropy - least[:, None]) * (4 * np.sqrt(np.maximum(n, 1)))[:, None])
+        length = np.maximum(n, 1)
+        odds = np.exp(-(entropy - least[:, None]) * (self.steep * length**self.power)[:, None])
         mean, spread, short = self.usual[best].T
-        limit = mean + 0.25 + strictness * np.sqrt(spread**2 + short**2 / np.maximum(n, 1))
+        room = 0.25 + strictness * np.sqrt(spread**2 + short**2 / length)
+        beyond = np.where(np.isfinite(room), np.maximum(0.0, least - mean - room), 0.0)
         und = letters == 0
         return {
             "lang_pred": np.where(und, "und", np.array(self.langs, object)[best]),
-            "score": np.where(und, 0.0, odds[row, best] / odds.sum(1)),
-            "rejected": und | (least > limit), "cross_entropy": np.where(und, np.nan, least),
+            "score": np.where(und, 0.0, odds[row, best] / odds.sum(1) * np.exp(-beyond / np.where(np.isfinite(room), room, 1.0))),
+            "rejected": und | (beyond > 0), "cross_entropy": np.where(und, np.nan, least),
         }
 
 
@@ -334,7 +353,25 @@ def train(
 ) -> Model | None:
     """A model of all rows with a label; None if there are none."""
     spark = df.sparkSession
-    counts = checkpointed(spark, count_grams(df, F.col(lang_col), F.col(text_col)))
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    at = F.pmod(F.xxhash64(F.col(key_col), F.col(text_col)), F.lit(1 << 20))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), at.alias("at"))
+    labels = {r.lang: r["rows"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    if not labels:
+        return None
+    share = calibration_rows / sum(labels.values())
+    cuts = {name: int(min(KEPT_OUT, max(share, LABEL_ROWS / n)) * (1 << 20)) if n >= LEAST_ROWS else 0 for name, n in labels.items()}
+
+    def sides() -> tuple[DataFrame, DataFrame]:
+        """The rows that are learned from, and those that are kept out."""
+        both = rows.join(F.broadcast(spark.createDataFrame(list(cuts.items()), "lang string, cut long")), "lang")
+        return both.where("at >= cut"), both.where("at < cut")
+
+    counts = checkpointed(spark, count_grams(sides()[0], F.col("lang"), F.col("text")))
+    learned = {r.lang for r in counts.select("lang").distinct().collect()}
+    if alone := [name for name in labels if cuts[name] and name not in learned]:  # labels of a few equal rows
+        cuts |= dict.fromkeys(alone, 0)
+        counts = checkpointed(spark, count_grams(sides()[0], F.col("lang"), F.col("text")))
     all_grams = counts.count()
     if not all_grams:
         return None
@@ -344,14 +381,7 @@ def train(
         model = Model({name: KneserNey(grams[langs == name].view(np.uint64), n[langs == name]) for name in set(langs.tolist())})
     else:
         model = Model(estimated(counts, int((max_grams * all_grams) ** 0.5)))
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(key_col)), F.lit(1 << 20)).alias("at"))
-    labels = {r.lang: r["rows"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    share = min(1.0, calibration_rows / max(1, sum(labels.values())))
-    sample = rows
-    if share < 1:
-        cuts = spark.createDataFrame([(name, int(min(1.0, max(share, LABEL_ROWS / n)) * (1 << 20))) for name, n in labels.items()], "lang string, cut long")
-        sample = rows.join(F.broadcast(cuts), "lang").where("at < cut")
+    names = model.langs
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,10 +389,10 @@ def train(
             entropy, length, _ = shared.value.cross_entropy(texts)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(length)], ["lang", "e", "n"])
 
-    measured = lambda part: part.select("lang", "text").mapInArrow(measure, "lang string, e array<double>, n long").toArrow()
-    seen = measured(sample)
-    if not seen.num_rows:  # rows that share few keys
-        seen = measured(rows.limit(calibration_rows))
+    sample = sides()[1].where(F.col("lang").isin(names))
+    if sample.isEmpty():  # too few rows to keep any out
+        sample = sides()[0].where(F.col("lang").isin(names)).limit(calibration_rows)
+    seen = sample.select("lang", "text").mapInArrow(measure, "lang string, e array<double>, n long").toArrow()
     if seen.num_rows:
         model.calibrate(seen.column("lang").to_numpy(), np.array(seen.column("e").to_pylist()), seen.column("n").to_numpy())
     return model
