@@ -13,7 +13,7 @@ _NAMES = {
     "normalize_text": "functions.expressions", "tokens": "functions.expressions",
     "search": "operators.search", "best_match": "operators.search", "search_iter": "operators.search", "create_matcher": "operators.search",
     "create_indexed_matcher": "operators.search", "prepare_choices": "operators.search", "matched": "operators.search",
-    "score_matrix": "operators.batch", "score_pairs": "operators.batch", "Editops": "operators.editops", "Opcodes": "operators.editops",
+    "score_matrix": "operators.batch", "score_pairs": "operators.batch", "partial_ratio_alignment": "operators.alignment", "Editops": "operators.editops", "Opcodes": "operators.editops",
     **{name: "functions.metrics" for name in (
         "levenshtein", "indel", "lcs", "osa", "damerau_levenshtein", "hamming", "jaro", "jaro_winkler", "prefix", "postfix", "dice", "cosine", "tversky",
         "ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "token_ratio", "partial_token_sort_ratio", "partial_token_set_ratio", "partial_token_ratio", "weighted_ratio",

@@ -9,40 +9,20 @@ from pyspark.sql import functions as F
 WHITE = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
-def characters(text: Column) -> Column:
-    """The text's code points as an array; the empty text has none."""
-    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+def levenshtein(left: Column, right: Column, weights=(1, 1, 1), most: Column | None = None) -> tuple[Column, Column] | None:
+    """Distance and its largest value. Other than uniform weights have no native form.
 
-
-def levenshtein(left: Column, right: Column, weights=(1, 1, 1)) -> tuple[Column, Column] | None:
-    """Distance and its largest value. Other than uniform weights have no native form."""
+    ``most``: a distance beyond which only a narrow band of the table is worked out; it is null then.
+    """
     if len(set(weights)) > 1:
         return None
     w = weights[0]
-    return F.levenshtein(left, right) * F.lit(w), F.greatest(F.length(left), F.length(right)) * F.lit(w)
-
-
-def hamming(left: Column, right: Column, pad: bool = True) -> tuple[Column, Column]:
-    longest = F.greatest(F.length(left), F.length(right))
-    apart = F.size(F.filter(F.zip_with(characters(left), characters(right), lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
-    if not pad:
-        apart = F.when(F.length(left) == F.length(right), apart).otherwise(F.raise_error(F.lit("Sequences are not the same length.")).cast("int"))
-    return apart, longest
-
-
-def _shared(left: Column, right: Column) -> Column:
-    same = F.zip_with(characters(left), characters(right), lambda x, y: x.eqNullSafe(y))
-    at = F.array_position(same, F.lit(False))
-    return F.when(at == 0, F.size(same)).otherwise(at - 1)
-
-
-def prefix(left: Column, right: Column) -> tuple[Column, Column]:
-    longest = F.greatest(F.length(left), F.length(right))
-    return longest - _shared(left, right), longest
-
-
-def postfix(left: Column, right: Column) -> tuple[Column, Column]:
-    return prefix(F.reverse(left), F.reverse(right))
+    if most is None:
+        apart = F.levenshtein(left, right)
+    else:
+        apart = F.call_function("levenshtein", left, right, F.greatest(most, F.lit(0)).cast("int"))
+        apart = F.when(apart >= 0, apart)
+    return apart * F.lit(w), F.greatest(F.length(left), F.length(right)) * F.lit(w)
 
 
 def normalize_text(text: Column) -> Column:

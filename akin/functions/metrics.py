@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import batches as V
 from . import expressions as E
 from . import kernels as K
 
@@ -24,6 +27,7 @@ class Metric:
 
     ``kernel(a, b, **config)`` scores two comparable operands in Python. ``native`` may build
     the score from column expressions alone, or return None where it can't for a configuration.
+    ``batch``, where there is one for the options, scores two Arrow columns of texts at once.
     """
 
     family: str
@@ -40,6 +44,10 @@ class Metric:
     def name(self) -> str:
         return f"{self.family}.{self.kind}"
 
+    def batch(self, config: dict) -> Callable | None:
+        found = V.SCORES.get(self.family, {}).get(self.kind)
+        return found if set(config) <= _BATCH_OPTIONS.get(self.family, set()) else None
+
     def __call__(self, left, right, **config):
         """Score of two values, or a column of scores if either is a column."""
         from ..operators.scorer import create_scorer
@@ -51,6 +59,9 @@ class Metric:
         return scorer.score(left, right)
 
 
+_BATCH_OPTIONS = {"hamming": {"pad"}, "jaro_winkler": {"prefix_weight"}, "dice": {"gram_size"}, "cosine": {"gram_size"}, "tversky": {"gram_size", "alpha", "beta"}}
+
+
 class Family:
     """The operations of a metric as attributes."""
 
@@ -105,7 +116,8 @@ def _edit_family(name: str, measure: Callable, maximum: Callable, keys: tuple[st
                 return None
             d, most = found
             share = F.when(most > 0, d / most).otherwise(0.0)
-            return {"distance": d, "similarity": most - d, "normalized_distance": share, "normalized_similarity": 1.0 - share}[kind].cast("double")
+            score = {"distance": d, "similarity": most - d, "normalized_distance": share, "normalized_similarity": 1.0 - share}[kind].cast("double")
+            return F.when(d.isNotNull(), score) if "most" in c else score
 
         return build
 
@@ -137,9 +149,9 @@ lcs = _edit_family("lcs", lambda a, b: max(len(a), len(b)) - K.lcs(a, b), _longe
 indel = _edit_family("indel", lambda a, b: len(a) + len(b) - 2 * K.lcs(a, b), _both)
 osa = _edit_family("osa", K.osa, _longer)
 damerau_levenshtein = _edit_family("damerau_levenshtein", K.damerau, _longer)
-hamming = _edit_family("hamming", K.hamming, _longer, ("pad",), E.hamming, validate=lambda c: {} if c.get("pad", True) else {"pad": False})
-prefix = _edit_family("prefix", lambda a, b: max(len(a), len(b)) - K.prefix(a, b), _longer, native=E.prefix)
-postfix = _edit_family("postfix", lambda a, b: max(len(a), len(b)) - K.postfix(a, b), _longer, native=E.postfix)
+hamming = _edit_family("hamming", K.hamming, _longer, ("pad",), validate=lambda c: {} if c.get("pad", True) else {"pad": False})
+prefix = _edit_family("prefix", lambda a, b: max(len(a), len(b)) - K.prefix(a, b), _longer)
+postfix = _edit_family("postfix", lambda a, b: max(len(a), len(b)) - K.postfix(a, b), _longer)
 jaro = _share_family("jaro", K.jaro)
 
 
@@ -226,31 +238,74 @@ FAMILIES = (levenshtein, indel, lcs, osa, damerau_levenshtein, hamming, jaro, ja
 FUZZ = (ratio, partial_ratio, token_sort_ratio, token_set_ratio, token_ratio, partial_token_sort_ratio, partial_token_set_ratio, partial_token_ratio, weighted_ratio)
 
 
-def kernel_column(kernel: Callable, config: dict, left: Column, right: Column, missing: float | None, once: bool = False) -> Column:
+#: Text bytes that are scored together.
+SLICE_BYTES = 1 << 20
+
+
+def kernel_column(kernel: Callable, config: dict, left: Column, right: Column, missing: float | None, once: bool = False, batch: Callable | None = None) -> Column:
     """Scores by an Arrow UDF; equal pairs of a batch are scored once. ``missing``: score where a side is null, None to fail.
 
     ``once`` keeps a later filter on the score from being pushed below it, which would score
-    every pair a second time; such a column can't be an argument of an aggregate.
+    every pair a second time; such a column can't be an argument of an aggregate. ``batch``
+    scores columns of texts; what it leaves out, and other operands, go through ``kernel``.
     """
 
     @F.arrow_udf(DoubleType())
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
-            seen: dict = {}
-            out = []
-            for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-                if x is None or y is None:
-                    if missing is None:
-                        raise ValueError("a distance needs both operands; one is missing")
-                    out.append(missing)
-                    continue
-                key = (x, y) if isinstance(x, str) and isinstance(y, str) else None
-                score = seen.get(key) if key is not None else None
-                if score is None:
-                    score = float(kernel(*K.comparable(x, y), **config))
-                    if key is not None:
-                        seen[key] = score
-                out.append(score)
-            yield pa.array(out, pa.float64())
+            if missing is None and (a.null_count or b.null_count):
+                raise ValueError("a distance needs both operands; one is missing")
+            if batch is not None and _is_text(a) and _is_text(b):
+                yield _scored_together(batch, kernel, config, a, b, missing)
+            else:
+                yield pa.array(_scored_singly(kernel, config, a, b, missing), pa.float64())
 
     return (run.asNondeterministic() if once else run)(left, right)
+
+
+def _is_text(column: pa.Array) -> bool:
+    return pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+
+
+def _scored_singly(kernel: Callable, config: dict, a: pa.Array, b: pa.Array, missing: float | None) -> list[float]:
+    seen: dict = {}
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        if x is None or y is None:
+            out.append(missing)
+            continue
+        key = (x, y) if isinstance(x, str) and isinstance(y, str) else None
+        score = seen.get(key) if key is not None else None
+        if score is None:
+            score = float(kernel(*K.comparable(x, y), **config))
+            if key is not None:
+                seen[key] = score
+        out.append(score)
+    return out
+
+
+def _scored_together(batch: Callable, kernel: Callable, config: dict, a: pa.Array, b: pa.Array, missing: float | None) -> pa.Array:
+    x, y = (c.dictionary_encode() for c in (a, b))
+    i, j = (c.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (x, y))
+    pair, first, back = np.unique(i * (len(y.dictionary) + 1) + j, return_index=True, return_inverse=True)
+    some = 4 * len(pair) <= 3 * len(a)  # many pairs are equal
+    if some:
+        p, q = a.take(pa.array(first)), b.take(pa.array(first))
+    else:
+        p, q = a, b
+    ends = np.cumsum(pc.add(pc.binary_length(p).fill_null(0), pc.binary_length(q).fill_null(0)).to_numpy(zero_copy_only=False))
+    out, at = np.zeros(len(p)), 0
+    while at < len(p):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")) - at)
+        u, v = p.slice(at, n), q.slice(at, n)
+        scores, rest = batch(u, v, **config)
+        if rest.any():
+            kept = pa.array(np.flatnonzero(rest))
+            scores[rest] = _scored_singly(kernel, config, u.take(kept).fill_null(""), v.take(kept).fill_null(""), None)
+        out[at : at + n] = scores
+        at += n
+    if some:
+        out = out[back.reshape(-1)]
+    if a.null_count or b.null_count:
+        out = np.where(pc.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False), out, missing)
+    return pa.array(out, pa.float64())

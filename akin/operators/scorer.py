@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.metrics import DISTANCE, SIMILARITY, Metric, element_score, kernel_column
 from ..plans import thresholds as T
+from ..plans.bounds import edits
 
 
 @dataclass(frozen=True)
@@ -64,13 +65,15 @@ class Scorer:
             return F.lit(None).cast("double")
         found = None
         if self.metric is not None and self.metric.native is not None:
-            found = self.metric.native(left, right, **dict(self.config))
+            allowed = None if threshold is None or T.needless(self.direction, self.bounds, threshold) else edits(self.name, dict(self.config), threshold)
+            within = {} if allowed is None else {"most": allowed.most(F.length(left), F.length(right))}
+            found = self.metric.native(left, right, **within, **dict(self.config))
             if found is not None:
                 absent = F.lit(self._missing_score) if self._missing_score is not None else F.raise_error(F.lit("an operand is missing")).cast("double")
                 found = F.when(left.isNull() | right.isNull(), absent).otherwise(found)
         if found is None:
             kernel, config = (self.metric.kernel, dict(self.config)) if self.metric is not None else (lambda a, b: self._within(self.function(a, b)), {})
-            found = kernel_column(kernel, config, left, right, self._missing_score, once)
+            found = kernel_column(kernel, config, left, right, self._missing_score, once, self.metric and self.metric.batch(config))
         return found if T.needless(self.direction, self.bounds, threshold) else F.when(T.qualifies(self.direction, found, threshold), found)
 
     def explain(self, left, right) -> dict:
@@ -122,8 +125,7 @@ def create_scorer(metric: Metric | Callable, *, direction: str | None = None, bo
 def is_match(scorer: Scorer, left, right, threshold: float):
     """Whether two values, or the rows' two columns, meet a threshold."""
     if isinstance(left, Column):
-        score = scorer.column(left, right)
-        return T.qualifies(scorer.direction, score, T.checked(threshold))
+        return scorer.column(left, right, threshold).isNotNull()
     return scorer.score(left, right, threshold) is not None
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +18,13 @@ from pyspark.sql.types import ArrayType
 from ..functions import expressions as E
 from ..functions.metrics import SIMILARITY
 from ..plans import thresholds as T
-from ..plans.bounds import gram_bound, length_bound
+from ..plans.bounds import Edits, edits, length_bound
 from . import index as X
 from .scorer import Scorer
 
 Normalize = Callable[[Column], Column] | None
 GRAM_FILTER = 3
+TOKEN_RATIOS = ("fuzz.token_set_ratio", "fuzz.token_sort_ratio", "fuzz.token_ratio")
 
 
 def prepared(choices: DataFrame, key: str = "key", text: str | Column = "text", order: str | None = None, normalize: Normalize = None, missing_items: str = "skip") -> DataFrame:
@@ -93,7 +95,8 @@ def similarity_join(questions: DataFrame, choices: DataFrame, scorer: Scorer, th
     """``(q, key, ord, score)`` of all pairs of ``(q, query)`` and :func:`prepared` choices that meet a threshold.
 
     Equal texts are scored once. Candidates come from, in this order: a gram index for the
-    bag metrics (threshold above 0), a shared-gram filter for Indel and ratio, the lengths.
+    bag metrics (threshold above 0), rare shared grams for edit distances and ratio, shared
+    tokens and the derived texts' grams for token ratios, the lengths.
     """
     threshold = T.checked(threshold)
     is_array = isinstance(choices.schema["text"].dataType, ArrayType)
@@ -106,11 +109,8 @@ def similarity_join(questions: DataFrame, choices: DataFrame, scorer: Scorer, th
         left, right = X.for_scorer(asked.toDF("id", "text"), scorer), X.for_scorer(texts.toDF("id", "text"), scorer)
         scored = X.scores(left, right, scorer).where(F.col("score") >= threshold).select(F.col("q").alias("qid"), F.col("c").alias("tid"), "score")
     else:
-        pairs = None if is_array else _gram_candidates(asked, texts, scorer, threshold)
-        if pairs is None:
-            pairs = asked.crossJoin(texts)
-            bound = threshold is not None and length_bound(scorer.name, dict(scorer.config), threshold, _length("query", pairs.schema), _length("text", pairs.schema))
-            pairs = pairs.where(bound) if isinstance(bound, Column) else pairs
+        pairs = _candidates(asked, texts, scorer, threshold, is_array)
+        pairs = asked.crossJoin(texts) if pairs is None else pairs.join(asked, "qid").join(texts, "tid")
         scored = pairs.withColumn("score", scorer.column(F.col("query"), F.col("text"), threshold, once=True)).where("score is not null").select("qid", "tid", "score")
     found = named.select("q", "qid").join(scored, "qid").join(held.select("key", "ord", "tid"), "tid").select("q", "key", "ord", "score")
     absent = questions.where("query is null").select("q")
@@ -119,31 +119,67 @@ def similarity_join(questions: DataFrame, choices: DataFrame, scorer: Scorer, th
             found = found.unionByName(absent.crossJoin(choices.where("item is not null").select("key", "ord")).withColumn("score", F.lit(0.0)))
         return found
     fails = F.raise_error(F.lit("the query is missing")).cast("double")
-    return found.unionByName(absent.crossJoin(choices.select("key", "ord")).withColumn("score", fails))
+    return found.unionByName(absent.crossJoin(F.broadcast(choices.select("key", "ord").limit(1))).withColumn("score", fails))  # one choice is enough to fail
 
 
-def _gram_candidates(asked: DataFrame, texts: DataFrame, scorer: Scorer, threshold: float | None) -> DataFrame | None:
-    """Pairs that share enough grams for Indel similarity or ratio; None where that isn't the metric.
+def _candidates(asked: DataFrame, texts: DataFrame, scorer: Scorer, threshold: float | None, is_array: bool) -> DataFrame | None:
+    """``(qid, tid)`` of pairs among which are all that qualify; None if any pair may."""
+    if threshold is None or T.needless(scorer.direction, scorer.bounds, threshold):
+        return None
+    config = dict(scorer.config)
+    if not is_array and scorer.name in TOKEN_RATIOS and threshold > 0:
+        return _token_candidates(asked, texts, scorer.name, threshold)
+    bound = lambda a, b: length_bound(scorer.name, config, threshold, a, b)
+    allowed = None if is_array else edits(scorer.name, config, threshold)
+    if allowed is not None:
+        return _gram_candidates(asked, texts, allowed, bound)
+    sizes = (asked.select("qid", _length("query", asked.schema).alias("a")), texts.select("tid", _length("text", texts.schema).alias("b")))
+    return None if bound(F.col("a"), F.col("b")) is None else _by_length(*sizes, bound(F.col("a"), F.col("b")))
+
+
+def _by_length(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
+    """Pairs of texts whose lengths fit: the lengths that occur, of which there are few, are paired first."""
+    lengths = left.select("a").distinct().join(F.broadcast(right.select("b").distinct()), fits)
+    return left.join(lengths, "a").join(right, "b").select("qid", "tid")
 
-    Where the fewest shared grams of a pair of lengths is 0 or less, the lengths decide alone.
+
+def _gram_candidates(asked: DataFrame, texts: DataFrame, allowed: Edits, bound: Callable) -> DataFrame:
+    """Pairs that share one of their rarest grams, and those of lengths too short for that to be sure.
+
+    A text's occurrences of grams are put in an order that all texts share, the rarest first; of
+    two qualifying texts the beginnings (of a length that the edits allow) hold a common one.
     """
-    if scorer.name not in ("indel.normalized_similarity", "fuzz.ratio") or threshold is None or threshold <= 0:
-        return None
-    t = threshold / 100 if scorer.name == "fuzz.ratio" else threshold
-    n = GRAM_FILTER
-    sizes = (asked.select("qid", F.length("query").alias("a")), texts.select("tid", F.length("text").alias("b")))
-    a, b = F.col("a"), F.col("b")
-    grams = lambda size: F.greatest(size - (n - 1), F.lit(0))
-    fits = 2 * F.least(a, b) >= (t - 1e-9) * (a + b)
-    least = gram_bound(n, F.floor((1 - t + 1e-9) * (a + b)), grams(a), grams(b))
-    postings = lambda side, c, text, size, count: side.select(c, F.length(text).alias(size), F.explode(X.grams_of(F.col(text), n, False)).alias("gram")).groupBy(c, size, "gram").agg(F.count(F.lit(1)).alias(count))
-    both = postings(asked, "qid", "query", "a", "qn").join(postings(texts, "tid", "text", "b", "cn"), "gram").where(fits)
-    shared = both.groupBy("qid", "tid", "a", "b").agg(F.sum(F.least("qn", "cn")).alias("shared"))
-    by_grams = shared.where((F.col("shared") >= least) & (least > 0)).select("qid", "tid")
-    # Pairs of lengths too short for the filter: joined by length, of which there are few.
-    lengths = sizes[0].select("a").distinct().crossJoin(sizes[1].select("b").distinct()).where((least <= 0) & fits)
-    by_length = sizes[0].join(lengths, "a").join(sizes[1], "b").select("qid", "tid")
-    return by_grams.unionByName(by_length).join(asked, "qid").join(texts, "tid")
+    n, a, b = GRAM_FILTER, F.col("a"), F.col("b")
+    fits, least = bound(a, b), allowed.shared(n, a, b)
+    fits = F.lit(True) if fits is None else fits
+    left, right = asked.select("qid", F.length("query").alias("a"), "query"), texts.select("tid", F.length("text").alias("b"), "text")
+    counted = []
+    for side, key, size, text in ((left, "qid", "a", "query"), (right, "tid", "b", "text")):
+        grams = side.select(key, size, F.explode(X.grams_of(F.col(text), n, False)).alias("gram"))
+        counted.append(grams.groupBy(key, size, "gram").agg(F.count(F.lit(1)).alias("times")))
+    often = counted[0].select("gram", "times").unionByName(counted[1].select("gram", "times")).groupBy("gram").agg(F.sum("times").alias("often"))
+    openings = []
+    for side, key, size in ((counted[0], "qid", "a"), (counted[1], "tid", "b")):
+        each = side.join(often, "gram").select(key, size, "gram", "often", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"))
+        rare = F.row_number().over(Window.partitionBy(key).orderBy("often", "gram", "nth"))
+        openings.append(each.withColumn("at", rare).where(F.col("at") <= allowed.opening(n, F.col(size))).select(key, size, "gram", "nth"))
+    by_grams = openings[0].join(openings[1], ["gram", "nth"]).where(fits & (least > 0)).select("qid", "tid").distinct()
+    return by_grams.unionByName(_by_length(left.select("qid", "a"), right.select("tid", "b"), fits & (least <= 0)))
+
+
+def _token_candidates(asked: DataFrame, texts: DataFrame, name: str, threshold: float) -> DataFrame:
+    """Candidates of token ratios: texts that share a token, and those whose sorted tokens are alike without."""
+    allowed, found = edits("fuzz.ratio", {}, threshold), []
+    bound = lambda a, b: length_bound("fuzz.ratio", {}, threshold, a, b)
+    sets = lambda side, key, text: side.select(key, F.array_distinct(E.tokens(F.col(text))).alias("t"))
+    if name != "fuzz.token_sort_ratio":
+        left, right = sets(asked, "qid", "query"), sets(texts, "tid", "text")
+        found.append(left.select("qid", F.explode("t").alias("token")).join(right.select("tid", F.explode("t").alias("token")), "token").select("qid", "tid"))
+        joined = lambda side, key, to: side.select(key, F.array_join(F.array_sort("t"), " ").alias(to))
+        found.append(_gram_candidates(joined(left, "qid", "query"), joined(right, "tid", "text"), allowed, bound))
+    if name != "fuzz.token_set_ratio":
+        found.append(_gram_candidates(asked.select("qid", E.token_sort(F.col("query")).alias("query")), texts.select("tid", E.token_sort(F.col("text")).alias("text")), allowed, bound))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _ranked(found: DataFrame, scorer: Scorer, limit: int | None) -> DataFrame:
@@ -260,14 +296,23 @@ def matched(questions: DataFrame, choices: DataFrame, scorer: Scorer, threshold:
     return questions.join(found, query_key, "left_semi" if keep else "left_anti")
 
 
-def contained(questions: DataFrame, choices: DataFrame, most: int = 12) -> DataFrame:
+def contained(questions: DataFrame, choices: DataFrame) -> DataFrame:
     """``(q, key)`` of pairs where one side's token set holds the other's: their token set ratio is 100.
 
-    An equi-join on tokens that counts what is shared. ``most``: sides of more tokens are left to scoring.
+    Equal sets are judged once. A set can only be held by one that has its rarest token, so an
+    equi-join on that token gives the candidates, which are then compared as a whole.
     """
     sides = []
     for rows, name, text in ((questions, "q", "query"), (choices, "key", "text")):
-        parts = rows.select(name, F.array_distinct(E.tokens(F.col(text))).alias("t")).where((F.size("t") > 0) & (F.size("t") <= most))
-        sides.append(parts.select(name, F.size("t").alias(f"{name}_n"), F.explode("t").alias("token")))
-    shared = sides[0].join(sides[1], "token").groupBy("q", "key", "q_n", "key_n").agg(F.count(F.lit(1)).alias("n"))
-    return shared.where(F.col("n") >= F.least("q_n", "key_n")).select("q", "key")
+        parts = rows.select(name, F.array_sort(F.array_distinct(E.tokens(F.col(text)))).alias("t")).where(F.size("t") > 0)
+        sides.append(parts.withColumn("s", F.unhex(F.md5(F.array_join("t", " ")))))
+    sets = [side.select("s", "t").dropDuplicates(["s"]) for side in sides]
+    each = [side.select("s", F.explode("t").alias("token")) for side in sets]
+    often = each[0].unionByName(each[1]).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = [side.join(often, "token").groupBy("s").agg(F.min_by("token", F.struct("n", "token")).alias("token")) for side in each]
+    inner = rarest[0].select(F.col("s").alias("x"), "token").join(each[1].select(F.col("s").alias("y"), "token"), "token").select("x", "y", F.lit(True).alias("first"))
+    outer = each[0].select(F.col("s").alias("x"), "token").join(rarest[1].select(F.col("s").alias("y"), "token"), "token").select("x", "y", F.lit(False).alias("first"))
+    pairs = inner.unionByName(outer).join(sets[0].select(F.col("s").alias("x"), F.col("t").alias("left")), "x").join(sets[1].select(F.col("s").alias("y"), F.col("t").alias("right")), "y")
+    held = F.when(F.col("first"), F.size(F.array_except("left", "right"))).otherwise(F.size(F.array_except("right", "left"))) == 0
+    pairs = pairs.where(held).select("x", "y").distinct()
+    return sides[0].select("q", F.col("s").alias("x")).join(pairs, "x").join(sides[1].select("key", F.col("s").alias("y")), "y").select("q", "key")

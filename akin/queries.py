@@ -17,6 +17,7 @@ from .operators import batch as B
 from .operators import editops as O
 from .operators import index as X
 from .operators import search as S
+from .operators.alignment import partial_ratio_alignment
 from .operators.scorer import create_scorer, is_match, score_if_match
 from .operators.soft import explain_column
 
@@ -34,8 +35,6 @@ def pairs(spark, sf_dir):
     return n.select(F.col("p_name").alias("a")).crossJoin(n.select(F.col("p_name").alias("b")))
 
 
-
-
 def ab():
     return F.col("a"), F.col("b")
 
@@ -132,7 +131,10 @@ def _four(family, **config):
 query("m_levenshtein", scale_sql("levenshtein(a, b)", LONGER))(_four(M.levenshtein))
 query("m_levenshtein_uniform_weights", scale_sql("3 * levenshtein(a, b)", f"3 * {LONGER}"))(_four(M.levenshtein, weights=(3, 3, 3)))
 query("m_levenshtein_indel_weights", scale_sql(f"length(a) + length(b) - 2 * ({lcs_sql('a', 'b')})", BOTH))(_four(M.levenshtein, weights=(1, 1, 2)))
-query("m_levenshtein_weights")(_four(M.levenshtein, weights={"insertion": 1, "deletion": 2, "substitution": 1.5}))
+_STEP = "lambda r, c: list_reduce(list_prepend([r[1] + 1.0], list_transform(range(1, length(a) + 1), lambda i: [i::DOUBLE])), lambda l, e: list_append(l, least(l[-1] + 2.0, r[e[1]::INT + 1] + 1.0, r[e[1]::INT] + CASE WHEN unicode(substr(a, e[1]::INT, 1)) = c[1] THEN 0.0 ELSE 1.5 END)))"
+WEIGHTED_LEVENSHTEIN = f"list_reduce(list_prepend(list_transform(range(0, length(a) + 1), lambda i: i * 2.0::DOUBLE), list_transform(string_split(b, ''), lambda x: [unicode(x)::DOUBLE])), {_STEP})[-1]"
+_WEIGHTED_MOST = "least(2.0 * length(a) + length(b), 1.5 * least(length(a), length(b)) + CASE WHEN length(a) >= length(b) THEN 2.0 * (length(a) - length(b)) ELSE length(b) - length(a) END)"
+query("m_levenshtein_weights", scale_sql(WEIGHTED_LEVENSHTEIN, _WEIGHTED_MOST))(_four(M.levenshtein, weights={"insertion": 1, "deletion": 2, "substitution": 1.5}))
 query("m_indel", scale_sql(f"length(a) + length(b) - 2 * ({lcs_sql('a', 'b')})", BOTH))(_four(M.indel))
 query("m_lcs", scale_sql(f"{LONGER} - ({lcs_sql('a', 'b')})", LONGER))(_four(M.lcs))
 query("m_osa", scale_sql(OSA, LONGER))(_four(M.osa))
@@ -260,13 +262,24 @@ FROM (SELECT a, b, {ratio_sql('a', 'b')} AS score, greatest(length(a), length(b)
 JOIN {_TOKEN_SCORES} t ON r.a = t.a AND r.b = t.b JOIN ({partial_sql(P)}) p ON r.a = p.a AND r.b = p.b JOIN {_PARTIAL_TOKEN} k ON r.a = k.a AND r.b = k.b"""))(_percent(M.weighted_ratio))
 
 
-@query("f_partial_ratio_alignment")
-def f_partial_ratio_alignment(spark, sf_dir):
-    from .functions import kernels as K
+def alignment_sql(rows: str) -> str:
+    """``(a, b, score, ...)``: the first best window, in the order of beginnings, inner windows and ends; for equally long texts of the second only if better."""
+    windows = f"""SELECT a, b, n, h, turn, unnest(list_concat(list_concat(
+   list_transform(range(1, length(n)), lambda i: [0, i]), list_transform(range(0, length(h) - length(n)), lambda i: [i, i + length(n)])), list_transform(range(length(h) - length(n), length(h)), lambda i: [i, length(h)]))) AS w,
+   generate_subscripts(list_concat(list_concat(range(1, length(n)), range(0, length(h) - length(n))), range(length(h) - length(n), length(h))), 1) AS place FROM (
+   SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS n, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS h, 0 AS turn FROM {rows} UNION ALL SELECT a, b, b, a, 1 FROM {rows} WHERE length(a) = length(b))"""
+    scored = f"""SELECT *, CASE WHEN contains(n, CASE WHEN w[2] < length(h) OR w[1] = 0 AND w[2] < length(n) THEN substr(h, w[2]::INT, 1) ELSE substr(h, (w[1] + 1)::INT, 1) END)
+   THEN round(200.0 * ({lcs_sql('n', 't')}) / (length(n) + length(t)), 9) ELSE 0 END AS score FROM (SELECT *, substr(h, (w[1] + 1)::INT, (w[2] - w[1])::INT) AS t FROM ({windows}))"""
+    best = f"SELECT * FROM ({scored}) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY score DESC, turn, place) = 1"
+    return f"""SELECT a, b, score, (CASE WHEN whole THEN 0 ELSE f END)::INT AS src_start, (CASE WHEN whole THEN length(a) ELSE e END)::INT AS src_end,
+  (CASE WHEN whole THEN f ELSE 0 END)::INT AS dest_start, (CASE WHEN whole THEN e ELSE length(b) END)::INT AS dest_end
+ FROM (SELECT a, b, score, turn = 0 AND length(a) <= length(b) AS whole, CASE WHEN score > 0 THEN w[1] ELSE 0 END AS f, CASE WHEN score > 0 THEN w[2] ELSE length(n) END AS e FROM ({best}))"""
 
-    fields = ("score", "src_start", "src_end", "dest_start", "dest_end")
-    found = O._column(lambda a, b: dict(zip(fields, K.partial_alignment(a, b), strict=True)), "struct<score:double,src_start:int,src_end:int,dest_start:int,dest_end:int>", *ab())
-    return pairs(spark, sf_dir).select("a", "b", found.alias("f")).select("a", "b", F.round("f.score", 9).alias("score"), *(f"f.{c}" for c in fields[1:]))
+
+@query("f_partial_ratio_alignment", alignment_sql(P))
+def f_partial_ratio_alignment(spark, sf_dir):
+    found = pairs(spark, sf_dir).select("a", "b", partial_ratio_alignment(*ab()).alias("f"))
+    return found.select("a", "b", F.round("f.score", 9).alias("score"), *(f"f.{c}" for c in ("src_start", "src_end", "dest_start", "dest_end")))
 
 
 # Texts
@@ -328,10 +341,13 @@ def e_validate(spark, sf_dir):
     return found.select("a", "b", O.equal_scripts(O.validated_editops(F.col("s")), F.col("s")).alias("valid"), O.equal_scripts(O.validated_opcodes(F.col("o")), F.col("o")).alias("valid_opcodes"))
 
 
-@query("e_explode")
+_LCS = lcs_sql("a", "b")
+
+
+@query("e_explode", f"SELECT a, b, tag, n::BIGINT AS n FROM (SELECT a, b, unnest(['delete', 'insert']) AS tag, unnest([length(a) - ({_LCS}), length(b) - ({_LCS})]) AS n FROM {P}) WHERE n > 0")
 def e_explode(spark, sf_dir):
-    found = pairs(spark, sf_dir).select("a", "b", F.posexplode(O.editops_column(*ab())["ops"]).alias("at", "op"))
-    return found.select("a", "b", "at", "op.tag", "op.src_pos", "op.dest_pos")
+    found = pairs(spark, sf_dir).select("a", "b", F.explode(O.editops_column(*ab(), "lcs")["ops"]).alias("op"))
+    return found.groupBy("a", "b", "op.tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Searches: every customer's name, less its last character, among the suppliers' names; typos among part names

@@ -119,15 +119,42 @@ def test_search_details(spark):
         from_values(spark, "text")
 
 
-def test_indel_candidates_lose_nothing(spark):
+THRESHOLDS = [
+    (M.indel.normalized_similarity, 0.55), (M.indel.normalized_distance, 0.3), (M.indel.distance, 5), (M.ratio, 80), (M.ratio, 20), (M.levenshtein.distance, 2), (M.levenshtein.distance, 0),
+    (M.levenshtein.normalized_similarity, 0.7), (M.levenshtein.normalized_distance, 0.45), (M.osa.distance, 2), (M.osa.normalized_similarity, 0.75), (M.damerau_levenshtein.distance, 3),
+    (M.damerau_levenshtein.normalized_similarity, 0.6), (M.hamming.distance, 3), (M.hamming.normalized_similarity, 0.6), (M.lcs.distance, 3), (M.lcs.normalized_similarity, 0.6), (M.lcs.similarity, 8),
+    (M.prefix.normalized_similarity, 0.4), (M.postfix.similarity, 3), (M.jaro.similarity, 0.8), (M.jaro.distance, 0.25), (M.jaro_winkler.similarity, 0.88), (M.jaro_winkler.distance, 0.1),
+    (M.token_set_ratio, 70), (M.token_sort_ratio, 75), (M.token_ratio, 75), (M.dice.similarity, 0.6), (M.levenshtein.distance, 1.9),
+]
+
+
+@pytest.mark.parametrize(("metric", "threshold"), THRESHOLDS, ids=lambda x: getattr(x, "name", str(x)))
+def test_thresholds_lose_nothing_and_need_no_cross_product(spark, metric, threshold):
     rng = random.Random(9)
-    texts = ["".join(rng.choices("abcd", k=rng.randint(0, 14))) for _ in range(120)]
-    items = from_values(spark, texts)
-    asked = spark.createDataFrame(list(enumerate(texts[:40])), "q long, query string")
-    for scorer, t in ((create_scorer(M.indel.normalized_similarity), 0.55), (create_scorer(M.ratio), 80), (create_scorer(M.ratio), 20)):
-        got = {(r.q, r.key): r.score for r in S.search_iter(asked, items, scorer, threshold=t).collect()}
-        want = {(q, k): s for q, a in enumerate(texts[:40]) for k, b in enumerate(texts) if (s := scorer.score(a, b, t)) is not None}
-        assert got == want
+    texts = ["".join(rng.choices("abcd ", k=rng.randint(0, 22))) for _ in range(90)]
+    for t in texts[:40]:  # swaps, changes, gaps and other orders of the parts
+        i = rng.randrange(max(1, len(t) - 2))
+        texts.append(rng.choice([t[:i] + t[i + 1 : i + 2] + t[i : i + 1] + t[i + 2 :], t[:i] + "é" + t[i + 1 :], t[:i] + t[i + 3 :], " ".join(t.split()[::-1]), t + "xyz"]))
+    asked = spark.createDataFrame(list(enumerate(texts[:50])), "q long, query string")
+    scorer = create_scorer(metric)
+    found = S.search_iter(asked, from_values(spark, texts), scorer, threshold=threshold)
+    got = {(r.q, r.key): r.score for r in found.collect()}
+    want = {(q, k): s for q, a in enumerate(texts[:50]) for k, b in enumerate(texts) if (s := scorer.score(a, b, threshold)) is not None}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want) and want
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contained_token_sets_of_any_size(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.sample(words, rng.randint(0, 40))) for _ in range(40)]
+    texts += [" ".join(rng.sample(t.split(), len(t.split()) * 2 // 3)) for t in texts[:25]] + [texts[0], None, "  ", " ".join(words), "w1 w1", "w1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    asked = spark.createDataFrame(list(enumerate(texts[20:])), "q long, query string")
+    got = sorted(map(tuple, S.contained(asked, rows).collect()))
+    sets = [set((t or "").split()) for t in texts]
+    want = sorted((q, k) for q, x in enumerate(sets[20:]) for k, y in enumerate(sets) if x and y and (x <= y or y <= x))
+    assert got == want and any(len(sets[20 + q]) > 12 and len(sets[k]) > 12 and sets[20 + q] != sets[k] for q, k in got)
 
 
 def test_soft_index_equals_scan(spark):

@@ -3,10 +3,12 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from akin.functions import batches as V
 from akin.functions import kernels as K
 from akin.functions import metrics as M
 from akin.operators.scorer import create_scorer
@@ -171,3 +173,66 @@ def test_rejections():
         own.score("a", "b")
     with pytest.raises(ValueError):
         create_scorer(lambda a, b: 2.0, direction="similarity", bounds=(1, 2))
+
+
+OPERATIONS = [(family, kind) for family, kinds in V.SCORES.items() for kind in kinds]
+
+
+@pytest.mark.parametrize(("family", "kind"), OPERATIONS)
+@pytest.mark.parametrize(("alphabet", "most"), [("ab", 9), ("aé😀漢字 ", 70), ("abcdefgh", 150), (" abc\x7f", 300)])
+def test_batches_equal_kernels(family, kind, alphabet, most):
+    """Many pairs at once: words of 64 bits and more, empty texts, characters beyond ASCII; pairs too long are left out."""
+    rng = random.Random(most)
+    word = lambda: "".join(rng.choices(alphabet, k=rng.randint(0, most)))
+    left = [word() for _ in range(150)]
+    right = ["".join(c for c in a if rng.random() > 0.1) if rng.random() < 0.5 else word() for a in left]
+    metric = M.ratio if family == "fuzz" else getattr(next(f for f in M.FAMILIES if f.name == family), kind)
+    got, rest = V.SCORES[family][kind](pa.array(left), pa.array(right))
+    for a, b, score, out in zip(left, right, got, rest, strict=True):
+        assert out or math.isclose(score, metric.kernel(a, b), abs_tol=1e-12), (a, b)
+    assert rest.all() <= (min(map(len, left + right)) > V.MOST) and (most <= V.MOST) <= (not rest.any())
+
+
+@pytest.mark.parametrize("size", [1, 3, 7])
+def test_batches_of_grams_with_options(size):
+    rng = random.Random(size)
+    left, right = (["".join(rng.choices("abcé ", k=rng.randint(0, 12))) for _ in range(200)] for _ in range(2))
+    got, _ = V.SCORES["tversky"]["distance"](pa.array(left), pa.array(right), gram_size=size, alpha=0.2, beta=3)
+    assert all(math.isclose(g, 1 - K.tversky(a, b, size, 0.2, 3), abs_tol=1e-12) for g, a, b in zip(got, left, right, strict=True))
+    got, _ = V.SCORES["jaro_winkler"]["similarity"](pa.array(left), pa.array(right), prefix_weight=0.2)
+    assert all(math.isclose(g, K.jaro_winkler(a, b, 0.2), abs_tol=1e-12) for g, a, b in zip(got, left, right, strict=True))
+
+
+def test_batches_score_slices_nulls_and_equal_pairs():
+    texts = pa.array(["skip", "night", None, "night", "", "x" * 400, "nacht"] * 30)
+    other = pa.array(["skip", "nacht", "a", "nacht", "", "x" * 399 + "y", None] * 30)
+    got = M._scored_together(V.SCORES["lcs"]["similarity"], M.lcs.similarity.kernel, {}, texts.slice(1), other.slice(1), 0.0).to_pylist()
+    assert got[:6] == [3.0, 0.0, 3.0, 0.0, 399.0, 0.0] and len(got) == 209
+
+
+def test_evidence_adds_up():
+    """Explained masses against the definition, and pairs that use each element once."""
+    rng = random.Random(12)
+    scorer = create_scorer(M.tversky.similarity, gram_size=1, alpha=0.7, beta=0.3, element_weights={"red": 3.0, "blue": 0.5}, element_similarity={"scorer": create_scorer(M.indel.normalized_similarity), "threshold": 0.5})
+    for _ in range(120):
+        a, b = (rng.choices(["red", "reed", "blue", "blues", "green", "x"], k=rng.randint(0, 5)) for _ in range(2))
+        found, price = scorer.explain(a, b), {"red": 3.0, "blue": 0.5}
+        assert math.isclose(found["score"], scorer.score(a, b), abs_tol=1e-12)
+        assert len({m["first_index"] for m in found["matches"]}) == len({m["second_index"] for m in found["matches"]}) == len(found["matches"])
+        for side, own, unmatched in ((a, "first", "unmatched_first"), (b, "second", "unmatched_second")):
+            assert math.isclose(found["totals"][f"{own}_mass"], sum(price.get(x, 1.0) for x in side))
+            left = sum(m[f"{own}_unmatched_mass"] for m in found["matches"]) + sum(u["unmatched_mass"] for u in found[unmatched])
+            assert math.isclose(left, found["totals"][f"{own}_unmatched_mass"], abs_tol=1e-9)
+        for m in found["matches"]:
+            assert m["first"] == a[m["first_index"]] and m["second"] == b[m["second_index"]] and m["exact"] == (m["first"] == m["second"])
+            assert math.isclose(m["shared_mass"], min(m["first_weight"], m["second_weight"]) * m["similarity"])
+
+
+def test_alignment_of_values():
+    from akin.operators.alignment import partial_ratio_alignment
+
+    assert partial_ratio_alignment("certain", "a certain string") == (100.0, 0, 7, 2, 9)
+    assert partial_ratio_alignment("a certain string", "certain") == (100.0, 2, 9, 0, 7)
+    assert partial_ratio_alignment(None, "x") is None and partial_ratio_alignment("", "") == (100.0, 0, 0, 0, 0)
+    with pytest.raises(TypeError):
+        partial_ratio_alignment(3, "x")
