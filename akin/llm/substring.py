@@ -8,14 +8,14 @@ intervals.
 Scale: windows travel as packed columns (7 hash bytes below the bucket's bits, about one
 byte of position), not as rows. Each map task settles repeats inside its own chunk first,
 so a passage that a third of all rows share sends one entry a chunk, not one a document.
-Texts travel once, compressed, to meet their intervals. The numbers of buckets and groups
-follow the counted text bytes, so the memory of a task stays the same at any size.
+Texts travel once, compressed, to meet their intervals. The numbers of buckets, groups and
+shuffle partitions follow the counted text bytes, so the memory of a task and what it reads
+stay the same at any size.
 
 Cases: a null or empty text, or one of fewer than ``k`` words, loses nothing. Rows that
 share an id never remove each other's words and are judged one by one; rows without an id
-are left out. Identical texts
-lose all but the smallest id's words (given ``k`` words). Only id and text are read, so
-further columns cannot clash.
+are neither earlier nor later than others and lose nothing. Identical texts lose all but the
+smallest id's words (given ``k`` words). Only id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def _owners(ids: list, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def repeated_windows(df: DataFrame, k: int, buckets: int, groups: int) -> DataFrame:
+def repeated_windows(df: DataFrame, k: int, buckets: int, groups: int, parts: int) -> DataFrame:
     """Packed rows ``(key = group of the document, docs, counts, at)`` of the repeated windows' starts."""
     bits = buckets.bit_length() - 1
 
@@ -144,7 +144,7 @@ def repeated_windows(df: DataFrame, k: int, buckets: int, groups: int) -> DataFr
         rows = [_batch([row]) for row in _packed(keys, owners, doc[later], at[later], None)]
         return pa.Table.from_batches(rows) if rows else table.slice(0, 0)
 
-    return df.mapInArrow(emit, _SCHEMA).groupBy("key").applyInArrow(count, _SCHEMA)
+    return df.mapInArrow(emit, _SCHEMA).repartition(parts, "key").groupBy("key").applyInArrow(count, _SCHEMA)
 
 
 def remove_repeats(
@@ -153,10 +153,12 @@ def remove_repeats(
     """``(id, n_words, n_removed, kept, spans)``: the kept words joined by a space, and the removed word intervals."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    every = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = every.where("id is not null")
     _, size = sizes(docs)
     buckets, groups = _power_of_two(size / bucket_bytes), max(1, size // group_bytes)
-    flagged = repeated_windows(docs, k, buckets, groups)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
+    flagged = repeated_windows(docs, k, buckets, groups, parts).repartition(parts, "key")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -197,5 +199,15 @@ def remove_repeats(
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "n_words", "n_removed", "kept", "spans"])
 
     schema = "id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
-    met = docs.mapInArrow(pack, _SCHEMA).groupBy("key").cogroup(flagged.groupBy("key")).applyInArrow(cut, schema)
-    return met.withColumnRenamed("id", id_col)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, _ in chunks(batches, CHUNK):
+            kept = [t.split() for t in texts]
+            n = pa.array([len(w) for w in kept], pa.int64())
+            yield pa.RecordBatch.from_arrays([n, pa.array([b" ".join(w).decode("utf-8", "replace") for w in kept], pa.string())], ["n_words", "kept"])
+
+    met = docs.mapInArrow(pack, _SCHEMA).repartition(parts, "key").groupBy("key").cogroup(flagged.groupBy("key")).applyInArrow(cut, schema)
+    alone = every.where("id is null").mapInArrow(whole, "n_words long, kept string")
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    alone = alone.select(F.lit(None).cast("long").alias("id"), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept", none.alias("spans"))
+    return met.unionByName(alone).withColumnRenamed("id", id_col)
