@@ -37,10 +37,10 @@ def test_substring(documents, corpus, k, sizes):
 
 def test_substring_odd_rows(spark, nothing):
     assert substring.remove_repeats(nothing).count() == 0
-    rows = [(1, "a b c d e", 9), (1, "v w a b c", 8), (2, "a b c", 7), (None, "a b c", 6)]
+    rows = [(1, "a b c d e", 9), (1, "v w a b c", 8), (2, "a b c", 7), (None, "a b \t c", 6), (None, None, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
-    got = sorted((r.doc_id, r.kept) for r in substring.remove_repeats(df, 3).collect())
-    assert got == [(1, "a b c d e"), (1, "v w a b c"), (2, "")]
+    got = sorted((r.doc_id or 9, r.kept, r.n_words, r.n_removed) for r in substring.remove_repeats(df, 3).collect())
+    assert got == [(1, "a b c d e", 5, 0), (1, "v w a b c", 5, 0), (2, "", 3, 3), (9, "", 0, 0), (9, "a b c", 3, 0)]
 
 
 ITEMS = [(1, None), (2, ""), (3, "one two"), (5, "Größe Été"), (4, "one two")]
@@ -81,6 +81,16 @@ def test_decontamination_odd(spark, documents, nothing, corpus):
     assert decontam.scan(nothing, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_by_a_join_judges_rows_by_themselves(spark):
+    text = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([("x", text), ("y", "seven eight"), ("y", None), ("z", "not here at all")], "item_id string, text string")
+    rows = [(1, text + " more", 5), (1, "nothing of it", 5), (1, text + " more", 5), (None, "all of " + text, 5), (2, None, 5), (3, "SEVEN eight.", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    shown = lambda found: sorted((str(r.doc_id), r.n_words, [tuple(h) for h in r.hits], sorted(r["items"]), r.whole_items) for r in found.collect())
+    got = shown(decontam.scan(df, bench, max_entries=3))
+    assert got == shown(decontam.scan(df, bench)) and len(got) == 6 and got[0] == ("1", 3, [], [], 0)
+
+
 def test_winnowing_guarantee(rng):
     for _ in range(200):
         v = np.array([rng.randrange(6) for _ in range(40)], np.uint64)
