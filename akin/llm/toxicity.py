@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-case words and beginnings of words. Of a bounded sample of labelled texts,
-terms whose share of toxic texts differs beyond chance from the sample's make the vocabulary;
-all other words of a text count together as one background term, so that similarity sees how
-dense the telling terms are. The examples' TF-IDF vectors lie in an inverted index whose
+terms that lean toxic beyond chance (``least_evidence``, in nats, in ``least_texts`` texts or more)
+make the vocabulary; all other words of a text count together as one background term, so that
+similarity sees how dense the telling terms are. So similarity is not over all words: a toxic
+text whose words the sample doesn't show to be so is not found. The examples' TF-IDF vectors lie in an inverted index whose
 postings are cut into blocks of examples with the largest weight of each term in each block.
 A search bounds every block from these maxima, scores the most promising blocks exactly, and
 then all blocks whose bound still beats the k-th similarity: the result is exact.
@@ -16,7 +17,9 @@ Scale: only the sample's counts and vectors come to the driver (``sample_rows``,
 
 Cases: a text without a telling term, so also a null or empty one, gets the calibrated share
 of toxic texts among such examples and has no evidence. Equal similarities go to the smaller
-example. With no labelled rows every score is 0.
+example. Texts of any length are read whole. Repeated examples each have a vote. Rows with a null
+key or label are not learned from. With no labelled rows every score is 0. Further columns are kept; one that has the result's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -182,8 +185,9 @@ class Model:
 
 
 def train(
-    labelled: DataFrame, label_col: str, key_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS
-) -> Model | None:
+    labelled: DataFrame, label_col: str, key_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS,
+    least_evidence: float = LEAST_EVIDENCE, least_texts: int = LEAST_TEXTS,
+) -> Model | None:
     """A model of the rows whose label is not null (0 or 1); None if there are none."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull())
@@ -208,7 +212,7 @@ def train(
     part = lambda p, q: F.when(p > 0, p * F.log(p / F.lit(q))).otherwise(0.0)
     evidence = F.col("n") * (part(own, share) + part(1 - own, 1 - share))
     counts = rows.mapInArrow(count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    counts = counts.withColumn("evidence", evidence).where((F.col("n") >= LEAST_TEXTS) & (F.col("evidence") >= LEAST_EVIDENCE) & (own > share))
+    counts = counts.withColumn("evidence", evidence).where((F.col("n") >= least_texts) & (F.col("evidence") >= least_evidence) & (own > share))
     found = counts.orderBy(F.desc("evidence"), "term").limit(max_terms).toArrow()
     n = found.column("n").to_numpy()
     vocabulary = Vocabulary(found.column("term").to_numpy().view(np.uint64), np.log((total + 1) / (n + 1)) + 1)
