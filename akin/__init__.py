@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -51,6 +53,7 @@ def prepare(spark) -> None:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="akin-code-")  # read by the driver's file server only
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = os.path.join(folder, "akin_code.zip")
     with zipfile.ZipFile(archive, "w") as out:
         for base, _, names in os.walk(root):

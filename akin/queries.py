@@ -282,6 +282,38 @@ def f_partial_ratio_alignment(spark, sf_dir):
     return found.select("a", "b", F.round("f.score", 9).alias("score"), *(f"f.{c}" for c in ("src_start", "src_end", "dest_start", "dest_end")))
 
 
+# Neighbouring documents' beginnings: texts beyond ASCII, empty and missing ones, of other lengths
+
+
+def neighbours(spark, sf_dir, size: int):
+    docs = table(spark, sf_dir, "documents")
+    here, there = docs.select("doc_id", F.substring("text", 1, size).alias("a")), docs.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 3, size).alias("b"))
+    return here.join(there, "doc_id", "left")
+
+
+def _neighbours_sql(size: int) -> str:
+    return f"(SELECT d.doc_id, substr(d.text, 1, {size}) AS a, substr(e.text, 3, {size}) AS b FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1)"
+
+
+def _of_texts(name: str, size: int, sql: str, metric, missing: str = "0"):
+    @query(name, f"SELECT doc_id, round(CASE WHEN a IS NULL OR b IS NULL THEN {missing} ELSE {sql} END, 9)::DOUBLE AS score FROM {_neighbours_sql(size)}")
+    def run(spark, sf_dir):
+        found = neighbours(spark, sf_dir, size)
+        either = F.col("a").isNotNull() & F.col("b").isNotNull()
+        score = metric(*ab()) if metric.direction == "similarity" else F.when(either, metric(F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))))
+        return found.select("doc_id", F.round(score, 9).alias("score"))
+
+    return run
+
+
+_UNIT = WEIGHTED_LEVENSHTEIN.replace("+ 2.0", "+ 1.0").replace("ELSE 1.5", "ELSE 1.0").replace("i * 2.0", "i * 1.0")
+_UNIT = f"CASE WHEN length(b) = 0 THEN length(a) ELSE {_UNIT} END"
+_of_texts("m_levenshtein_texts", 40, _UNIT, M.levenshtein.distance, "NULL")
+_of_texts("m_lcs_texts", 100, lcs_sql("a", "b"), M.lcs.similarity)
+_of_texts("m_prefix_texts", 100, PREFIX, M.prefix.similarity)
+_of_texts("f_ratio_texts", 100, ratio_sql("a", "b"), M.ratio)
+
+
 # Texts
 
 _DUCK_WHITE = "[\\x{0009}-\\x{000D}\\x{001C}-\\x{0020}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
@@ -352,12 +384,17 @@ def e_explode(spark, sf_dir):
 
 # Searches: every customer's name, less its last character, among the suppliers' names; typos among part names
 
-TYPOS = "(SELECT row_number() OVER (ORDER BY p_name) AS q, substr(p_name, 2) AS query FROM (SELECT DISTINCT p_name FROM part))"
+TYPOS = "(SELECT min(p_partkey) AS q, substr(p_name, 2) AS query FROM part GROUP BY p_name)"
 _LEV_NS = "CASE WHEN greatest(length(query), length(p_name)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(query, p_name)::DOUBLE / greatest(length(query), length(p_name)) END"
 
 
 def typos(spark, sf_dir):
-    return names(spark, sf_dir).select(F.dense_rank().over(S.Window.orderBy("p_name")).cast("long").alias("q"), F.substring("p_name", 2, 1000).alias("query"))
+    return numbered(spark, sf_dir).select("q", F.substring("p_name", 2, 1000).alias("query"))
+
+
+def numbered(spark, sf_dir):
+    """Each part name with its smallest key."""
+    return table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("q"))
 
 
 def parts(spark, sf_dir):
@@ -488,11 +525,11 @@ def x_gramless(spark, sf_dir):
     f"""WITH d AS (SELECT DISTINCT p_name AS t FROM part), g AS (SELECT t, g, count(*) AS n, {_PRICE}::DOUBLE AS w FROM (SELECT t, unnest(string_split(t, ' ')) AS g FROM d) GROUP BY ALL),
 z AS (SELECT t, sum(n * w) AS m FROM g GROUP BY t), j AS (SELECT x.t AS a, y.t AS b, sum(least(x.n, y.n) * x.w) AS s FROM g x JOIN g y ON x.g = y.g GROUP BY ALL HAVING s > 0),
 v AS (SELECT a, b, s / (s + 1.0 * (x.m - s) + 0.25 * (y.m - s)) AS score FROM j JOIN z x ON x.t = a JOIN z y ON y.t = b),
-i AS (SELECT row_number() OVER (ORDER BY t) AS q, t FROM d)
+i AS (SELECT min(p_partkey) AS q, p_name AS t FROM part GROUP BY p_name)
 SELECT q, p_partkey AS key, round(score, 9) AS score FROM i JOIN v ON v.a = i.t JOIN part ON p_name = v.b WHERE score >= 0.6""",
 )
 def x_weighted(spark, sf_dir):
-    asked = names(spark, sf_dir).select(F.dense_rank().over(S.Window.orderBy("p_name")).cast("long").alias("q"), F.split("p_name", " ").alias("query"))
+    asked = numbered(spark, sf_dir).select("q", F.split("p_name", " ").alias("query"))
     rows = parts(spark, sf_dir).withColumn("text", F.split("text", " "))
     return _shown(S.create_indexed_matcher(rows, create_scorer(M.tversky.similarity, **WEIGHTED)).search_iter(asked, threshold=0.6))
 
@@ -626,7 +663,10 @@ def _shared_folder(spark) -> str:
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import atexit
+        import shutil
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="akin-stream-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder.rstrip("/")
