@@ -12,7 +12,7 @@ from ..functions.metrics import kernel_column
 from ..plans import thresholds as T
 from .editops import _column
 from .scorer import Scorer
-from .search import Matcher, _questions, similarity_join
+from .search import Matcher, _questions, similarity_join, text_id
 
 _SIDE = "array<struct<element:string,index:int,weight:double,unmatched_mass:double>>"
 EVIDENCE = (
@@ -52,18 +52,23 @@ class SoftIndexedMatcher(Matcher):
         config = dict(self.scorer.config)
         inner, least = config["element_similarity"]
         low, high = inner.bounds
-        ours = questions.select("q", F.explode("query").alias("token")).distinct()
-        theirs = self.choices.select("key", F.explode("text").alias("token")).distinct()
+        # Distinct texts are scored, and joined back with their rows.
+        named = questions.where("query is not null").withColumn("qid", text_id(F.col("query"), True))
+        held = self.choices.where("text is not null").withColumn("tid", text_id(F.col("text"), True))
+        asked, texts = named.select("qid", "query").dropDuplicates(["qid"]), held.select("tid", "text").dropDuplicates(["tid"])
+        ours = asked.select("qid", F.explode("query").alias("token")).distinct()
+        theirs = texts.select("tid", F.explode("text").alias("token")).distinct()
         words = lambda side, name: side.select("token").distinct().where(F.length("token") > 1).select(F.xxhash64("token").alias(name), "token")
         a, b = words(ours, "q"), words(theirs, "key")
         alike = similarity_join(a.select("q", F.col("token").alias("query")), b.select("key", F.col("key").alias("ord"), F.col("token").alias("item"), F.col("token").alias("text")), inner, low + least * (high - low) - 1e-9)
         near = alike.join(a, "q").withColumnRenamed("token", "x").join(b, "key").select("x", F.col("token").alias("y"))
         near = near.unionByName(ours.select(F.col("token").alias("x"), F.col("token").alias("y")).distinct())
-        found = ours.join(near, ours["token"] == near["x"]).select("q", "y").join(theirs, F.col("y") == theirs["token"]).select("q", "key").distinct()
+        found = ours.join(near, ours["token"] == near["x"]).select("qid", "y").join(theirs, F.col("y") == theirs["token"]).select("qid", "tid").distinct()
         weights, default = config.get("element_weights"), config.get("default_element_weight", 1.0)
         priced = lambda c: F.lit(True) if weights is None else F.exists(c, lambda x: ~x.isin([w for w, v in weights if v == 0]) if default else x.isin([w for w, v in weights if v > 0]))
-        bare_q, bare_c = questions.where((F.size("query") == 0) | ~priced("query")).select("q"), self.choices.where((F.size("text") == 0) | ~priced("text")).select("key")
+        bare_q, bare_c = asked.where((F.size("query") == 0) | ~priced("query")).select("qid"), texts.where((F.size("text") == 0) | ~priced("text")).select("tid")
         found = found.unionByName(bare_q.crossJoin(bare_c)).distinct()
-        pairs = found.join(questions, "q").join(self.choices, "key")
+        pairs = found.join(asked, "qid").join(texts, "tid")
         score = kernel_column(self.scorer.metric.kernel, config, F.col("query"), F.col("text"), 0.0, once=True)
-        return pairs.select("q", "key", "ord", score.alias("score")).where(F.col("score") >= threshold)
+        scored = pairs.select("qid", "tid", score.alias("score")).where(F.col("score") >= threshold)
+        return named.select("q", "qid").join(scored, "qid").join(held.select("key", "ord", "tid"), "tid").select("q", "key", "ord", "score")
