@@ -111,5 +111,36 @@ def test_registered_queries(spark, folder):
     assert query_columns(queries, spark, folder, "op8_decontamination") == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+def test_contract_columns_by_value(spark, folder):
+    from zlib import crc32
+
+    from akin.llm import queries
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 9 == 0).cast("int").alias("toxic")).write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    texts = rows_of(docs)
+    for name, folds, out, least in (("op1_language_id", 3, 1, None), ("op2_toxicity", 5, 0, 0.5), ("op10_quality", 5, 0, 0.3)):
+        rows = queries.QUERIES[name](spark, folder).collect()
+        assert {r.doc_id: r.held_out for r in rows} == {i: crc32(str(i).encode()) % folds == out for i in texts}, name
+        assert all(0 <= r.score <= 1 for r in rows)
+        if least is None:
+            assert {r.doc_id for r in rows if r.lang_pred == "und"} == {160, 161, 162} and {r.lang_pred for r in rows} == {"aa", "und"}
+        else:
+            assert all(r.predicted == (1 if r.score >= least else 0) for r in rows), name
+
+
+def test_rows_that_share_an_id_or_have_none(spark, folder):
+    """Stages judge rows by their texts: clean rows stay though another row with their id goes."""
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id = 1").first().text
+    long = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcde"]
+    rows = [(1, long[0]), (1, long[1]), (2, long[0]), (2, long[2]), (None, long[3]), (None, long[1]), (None, f"x {item} y"), (3, f"z {item}"), (3, long[4]), (3, long[4]), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    shown = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = shown(corpus_pipeline.dedup_documents(spark, docs, folder))
+    assert kept == sorted([(1, long[0]), (1, long[1]), (2, long[2]), (None, long[3]), (3, f"z {item}"), (3, long[4]), (4, None)], key=str)
+    clean = shown(corpus_pipeline.decontaminate(spark, docs, folder))
+    assert clean == sorted(((i, t) for i, t in rows if not t or item not in t), key=str)
+
+
 def query_columns(queries, spark, folder, name):
     return queries.QUERIES[name](spark, folder).columns
