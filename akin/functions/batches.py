@@ -112,16 +112,21 @@ class Chunk:
         words = -(-max(1, side.shape[1]) // 64)
         table = np.zeros(len(side) * (self.kinds + 2) * words, np.uint64)
         base = np.arange(len(side)) * ((self.kinds + 2) * words)
-        for i in range(side.shape[1]):
-            table[base + (side[:, i] * words + i // 64)] |= np.uint64(1 << i % 64)
+        for i, at in enumerate(_lookups(base, side, words)):
+            at = at + i // 64 if i >= 64 else at
+            table[at] = table.take(at) | np.uint64(1 << i % 64)
         return table, base
 
     def matches(self):
         """For each character of the second side, the words of its places in the first."""
         table, base = self.places()
-        for j in range(self.b.shape[1]):
-            at = base + self.b[:, j] * self.words
-            yield j, [table[at + w] if w else table[at] for w in range(self.words)]
+        for j, at in enumerate(_lookups(base, self.b, self.words)):
+            yield j, [table.take(at + w if w else at) for w in range(self.words)]
+
+
+def _lookups(base: np.ndarray, side: np.ndarray, words: int) -> np.ndarray:
+    """By position, where each pair's character has its bit vector."""
+    return np.ascontiguousarray((base[:, None] + (side * words if words > 1 else side)).T)
 
 
 def _plus(v: np.ndarray, u: np.ndarray, carry: np.ndarray | None, last: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -209,10 +214,10 @@ def _jaro(chunk: Chunk) -> np.ndarray:
     reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
     taken = [np.zeros(rows, np.uint64) for _ in range(words)]
     mine = np.zeros(chunk.a.shape, bool)
-    for i in range(chunk.a.shape[1]):
-        at, open_ = base + chunk.a[:, i] * words, chunk.a[:, i] < chunk.kinds
+    for i, at in enumerate(_lookups(base, chunk.a, words)):
+        open_ = chunk.a[:, i] < chunk.kinds
         for w in range(words):
-            free = table[at + w] & ~taken[w] & _below(i + reach + 1, w) & ~_below(i - reach, w)
+            free = table.take(at + w if w else at) & ~taken[w] & _below(i + reach + 1, w) & ~_below(i - reach, w)
             free = np.where(open_, free, np.uint64(0))
             first = free & (~free + _ONE)
             taken[w] |= first
