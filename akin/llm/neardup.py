@@ -10,12 +10,13 @@ similarity. Bands of coordinates are joined; every candidate is verified exactly
 Scale: texts with the same words are one node (a digest of 16 bytes), so a group of copies of
 any size is a single row before banding. In each band bucket the members are first compared
 with one of them, then those outside the bucket's largest component with one member of it: a
-linear number of pairs. Texts of buckets that still hold several components are joined exactly:
-of each the rarest fifth of its cells (by their number of texts) is enough to meet every text
-that is alike, so texts with much of their own meet nobody, however large their bucket. Only
-texts of different components are paired. In the worst case (texts that mix the same few
-shingles) that join still has as many candidates as pairs; nothing is cut off then. Rows of a
-key are dealt out by ``SALT_ROWS``, so no task gets a whole large bucket. Shingle profiles are
+linear number of pairs. Of buckets that then still hold several components, texts are left out
+that can't be alike any other: of each the rarest fifth of its cells (by their number of texts)
+would meet every text that is alike, so texts with much of their own drop out, however large their
+bucket. What is left of a bucket is compared in full, block against block, by matrix products of which only
+links that join components come out; the blocks' pairs are dealt to all tasks. That is exact, and
+the one step whose work can grow with the square of a group: of many texts nearly alike enough.
+Rows of a key are dealt out by ``SALT_ROWS``, so no task gets a whole large bucket. Shingle profiles are
 made for candidates only. Components are found by Spark (large-star and small-star); neither
 links nor components come to the driver. Keys of candidates have 64 bits; links, which are
 verified, name digests.
@@ -42,6 +43,8 @@ from .text import ALNUM_HIGH, checkpointed, chunks, mix, release, rolling, start
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Rounds that try members against one member of their bucket's largest component; rows of a key that stay together; text bytes signed at once.
 HUB_ROUNDS, SALT_ROWS, CHUNK = 1, 256, 1 << 20
+#: Most members, and most bytes of their cells, in a block that is compared with another.
+BLOCK, BLOCK_BYTES = 512, 2 << 20
 _LOW48 = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,6 +185,64 @@ def _opening(threshold: float):
     return run
 
 
+def _linking(threshold: float):
+    """Links that join different components of two blocks of members, at most one for each component joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (nodes, roots, left), (others, tops, right) = _members(batch.column(0)[k].values), _members(batch.column(1)[k].values)
+                common = _common(left, right)
+                n, m = np.array([len(c) for c in left]), np.array([len(c) for c in right])
+                alike = common >= threshold * (n[:, None] + m[None] - common) - 1e-9
+                over: dict[int, int] = {}
+
+                def top(x: int, over=over) -> int:
+                    while over.get(x, x) != x:
+                        x = over[x]
+                    return x
+
+                found = []
+                for i, j in np.argwhere(alike & (roots[:, None] != tops[None])).tolist():
+                    a, b = top(int(roots[i])), top(int(tops[j]))
+                    if a != b and common[i, j] / max(1, n[i] + m[j] - common[i, j]) >= threshold:
+                        over[max(a, b)] = min(a, b)
+                        found.append((int(nodes[i]), int(others[j])))
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        release()
+
+    return run
+
+
+def _members(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return block.field("d").to_numpy(), block.field("root").to_numpy(), [_wide(c) for c in block.field("cells").to_pylist()]
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], slab: int = 4096) -> np.ndarray:
+    """Cells that each left member shares with each right one; a slab of the cells on both sides at a time."""
+    ours, theirs = np.concatenate(left), np.concatenate(right)
+    cells = np.intersect1d(ours, theirs)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(cells):
+        return out
+    sides = []
+    for parts, every in ((left, ours), (right, theirs)):
+        member = np.repeat(np.arange(len(parts)), [len(c) for c in parts])
+        at = np.minimum(np.searchsorted(cells, every), len(cells) - 1)
+        held = cells[at] == every
+        order = np.argsort(at[held], kind="stable")
+        sides.append((member[held][order], at[held][order]))
+    for low in range(0, len(cells), slab):
+        grids = []
+        for parts, (member, at) in zip((left, right), sides, strict=True):
+            a, b = np.searchsorted(at, [low, low + slab])
+            grid = np.zeros((len(parts), slab), np.float32)
+            grid[member[a:b], at[a:b] - low] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [_wide(raw) for raw in batch.column(1).to_pylist()]
@@ -205,19 +266,32 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(_spread(hubs.select("key", "n", "hub.root")).select("key", "salt", F.col("root").alias("hub")), ["key", "salt"])
 
 
-def _across(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` of texts of different components among which are all that are alike enough: an exact prefix join."""
+def _meeting(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """``d`` of the texts that share one of their rarest cells with a text of another component; no others can be alike enough."""
     spark = rest.sparkSession
-    held = checkpointed(spark, rest.join(profiles, "d").select("d", "root", "cells"))
+    held = checkpointed(spark, rest.select("d", "root").distinct().join(profiles, "d").select("d", "root", "cells"))
     cells = held.select("d", "cells").mapInArrow(_cells, "d long, cell long")
     counted = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     known = cells.join(counted, "cell").groupBy("d").agg(F.collect_list("cell").alias("frequent"), F.collect_list("texts").alias("counts"))
     first = held.join(known, "d").select("d", "cells", "frequent", "counts").mapInArrow(_opening(threshold), "d long, cell long")
     first = checkpointed(spark, first.join(held.select("d", "root"), "d"))
     several = first.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-    first = first.join(several, "cell")
-    left, right = first.select("cell", F.col("d").alias("a"), F.col("root").alias("x")), first.select("cell", F.col("d").alias("b"), F.col("root").alias("y"))
-    return left.join(right, "cell").where("a < b and x <> y").select("a", "b").distinct()
+    return checkpointed(spark, first.join(several, "cell").select("d").distinct())
+
+
+def _across(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` that join all components of each key's members ``(key, salt, n, d, root)`` which any alike pair joins: block against block."""
+    spark = rest.sparkSession
+    near = rest.join(sized(_meeting(rest, profiles, threshold)), "d").join(profiles, "d").select("key", "salt", "n", "d", "root", "cells")
+    near = checkpointed(spark, near)
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("cells")) / BLOCK_BYTES))
+    counted = near.groupBy("key").agg(size.alias("blocks"), F.first("n").alias("n"))
+    parts = near.join(_spread(counted).select("key", "salt", "blocks"), ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")))
+    parts = parts.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("d", "root", "cells")).alias("members"))
+    parts = checkpointed(spark, parts)
+    left = parts.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("members").alias("left"))
+    right = parts.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("members").alias("right"))
+    return left.join(right, ["key", "i", "j"]).select("left", "right").mapInArrow(_linking(threshold), "a long, b long").distinct()
 
 
 def _linked(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -255,7 +329,7 @@ def _linked(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: i
         if more.isEmpty():
             break
         roots = joined(roots, more)
-    rest = checkpointed(spark, _mixed(several, roots).select("d", "root").distinct())
+    rest = checkpointed(spark, _mixed(several, roots).select("key", "salt", "n", "d", "root"))
     if not rest.isEmpty():
         more = verified(checkpointed(spark, _across(rest, profiles, threshold)))
         if not more.isEmpty():

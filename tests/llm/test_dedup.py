@@ -183,15 +183,31 @@ def test_texts_of_several_components_in_a_bucket(spark, rng):
     assert got == expected_classes(rows) and 20 < len(set(got.values())) < 150
 
 
-def test_prefix_join_finds_all_pairs(spark, rng):
+def test_blocks_of_rare_cells_join_all_components(spark, rng, monkeypatch):
     rows = [(d, frozenset(rng.sample(range(60), rng.randint(1, 25)))) for d in range(120)]
     rows += [(200 + d, frozenset(rng.sample(sorted(own), max(1, len(own) - 2))) | {70 + d}) for d, own in rows[:60]]
+    rows += [(400 + d, frozenset(range(1000 * d, 1000 * d + 9)) | {1, 2}) for d in range(1, 40)]
     pack = lambda own: bytearray(b"".join(c.to_bytes(6, "little") for c in sorted(own)))
     profiles = spark.createDataFrame([(d, pack(own)) for d, own in rows], "d long, cells binary")
-    rest = profiles.selectExpr("d", "d % 37 as root")
+    rest = profiles.selectExpr("7L as key", "pmod(d, 3) as salt", "600L as n", "d", "d % 137 as root")
+    met = {r.d for r in neardup._meeting(rest, profiles, 0.6).collect()}
+    alike = {(a, b) for a, x in rows for b, y in rows if a < b and a % 137 != b % 137 and len(x & y) >= 0.6 * len(x | y)}
+    assert alike and {d for pair in alike for d in pair} <= met and not any(d > 400 for d in met)
+    monkeypatch.setattr(neardup, "BLOCK", 20)
     got = {(r.a, r.b) for r in neardup._across(rest, profiles, 0.6).collect()}
-    want = {(a, b) for a, x in rows for b, y in rows if a < b and a % 37 != b % 37 and len(x & y) >= 0.6 * len(x | y)}
-    assert want and want <= got and len(got) < len(rows) ** 2 / 4
+    joined = lambda pairs: {frozenset(x) for x in _groups({(a % 137, b % 137) for a, b in pairs})}
+    assert joined(got) == joined(alike) and got <= alike | {(b, a) for a, b in alike}
+
+
+def _groups(edges):
+    over = {}
+    for a, b in edges:
+        x, y = over.get(a, {a}), over.get(b, {b})
+        for n in x | y:
+            over[n] = x | y
+        for n in x | y:
+            over[n] = over[a]
+    return over.values()
 
 
 def test_darts_agree_as_often_as_alike(rng):
