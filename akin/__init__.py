@@ -35,7 +35,7 @@ def __dir__() -> list[str]:
 
 
 #: Bytes of an Arrow batch between JVM and Python, where the session keeps Spark's 64 MB.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m")
 
 
 def prepare(spark) -> None:
