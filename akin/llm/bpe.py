@@ -222,7 +222,15 @@ class Codec:
 
 
 _codecs: list[Codec] = []
-worker_caches.append(_codecs.clear)
+
+
+def _drop() -> None:
+    for codec in _codecs:
+        codec.vocabulary._judged.clear()  # the vocabulary itself stays as long as its broadcast does
+    _codecs.clear()
+
+
+worker_caches.append(_drop)
 
 
 def _codec(vocabulary: Vocabulary, pattern: str) -> Codec:
