@@ -201,6 +201,11 @@ def _tversky_config(config: dict) -> dict:
     return out
 
 
+def priced(weights: tuple) -> dict:
+    """Weights by element, where a character also is its code point, as in sequences that aren't texts."""
+    return dict(weights) | {ord(x): w for x, w in weights if isinstance(x, str) and len(x) == 1}
+
+
 def element_score(scorer) -> Callable[[str, str], float]:
     """The scorer's similarity of two elements, on 0..1."""
     low, high = scorer.bounds
@@ -210,10 +215,10 @@ def element_score(scorer) -> Callable[[str, str], float]:
 def _tversky(a, b, gram_size=2, alpha=0.5, beta=0.5, element_weights=None, default_element_weight=1.0, element_similarity=None):
     if element_similarity is not None:
         scorer, threshold = element_similarity
-        weights = None if element_weights is None else dict(element_weights)
+        weights = None if element_weights is None else priced(element_weights)
         return K.tversky_soft(a, b, element_score(scorer), threshold, weights, default_element_weight, alpha, beta)
     if element_weights is not None:
-        return K.tversky_weighted(a, b, dict(element_weights), default_element_weight, alpha, beta)
+        return K.tversky_weighted(a, b, priced(element_weights), default_element_weight, alpha, beta)
     return K.tversky(a, b, gram_size, alpha, beta)
 
 

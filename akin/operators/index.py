@@ -1,15 +1,19 @@
-"""Inverted gram indexes as DataFrames: postings are joined on the gram and summed.
-
-Building explodes each text's grams and counts them; a search is an equi-join on the gram, a
-sum by pair, and the metric's formula over the sums. Frequent grams make long postings: with
-adaptive execution Spark splits such join partitions, and the sum combines before shuffling.
+"""Inverted gram indexes as DataFrames: postings are joined on the gram.
+
+Building explodes each text's grams and counts them. Without a threshold a search is an
+equi-join on the gram, a sum by pair, and the metric's formula over the sums. With one, the
+long postings of frequent grams are not read: of two texts that qualify, the rarest gram that
+they share comes early enough in both (in the order of the index, rare grams first) that what
+each text has from there on can still reach the threshold. Only postings for which this holds
+are joined, and the pairs found are scored as a whole. For a frequent gram few texts keep a posting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -33,7 +37,7 @@ def grams_of(text: Column, n: int, is_array: bool) -> Column:
 
 @dataclass(frozen=True)
 class GramIndex:
-    """``postings (id, gram, n, w)``, ``totals (id, text, grams, norm, mass)`` of a table ``(id, text)``."""
+    """``postings (id, gram, n, w)``, ``totals (id, text, grams, norm, mass)`` of a table ``(id, text)``, and how ``often`` each gram occurs."""
 
     postings: DataFrame
     totals: DataFrame
@@ -55,9 +59,21 @@ class GramIndex:
         totals = rows.select("id", "text").join(sums, "id", "left").na.fill({"grams": 0, "norm": 0, "mass": 0.0})
         return cls(postings, totals, gram_size, weights, default)
 
+    @property
+    def often(self) -> DataFrame:
+        return self.postings.groupBy("gram").agg(F.sum("n").alias("often"))
+
     def cached(self) -> GramIndex:
         return GramIndex(self.postings.cache(), self.totals.cache(), self.size, self.weights, self.default)
 
+    def opening(self, often: DataFrame, least: Callable[[str], Column], amount: Column) -> DataFrame:
+        """``(id, gram)`` of the postings from which on a text has enough (of ``amount`` a posting) to reach ``least`` of its total."""
+        each = self.postings.join(often, "gram", "left").withColumn("amount", amount.cast("double"))
+        onwards = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(0)).desc(), F.col("gram").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        total = F.sum("amount").over(Window.partitionBy("id"))
+        kept = each.withColumn("rest", F.sum("amount").over(onwards)).withColumn("total", total)
+        return kept.where((F.col("amount") > 0) & (F.col("rest") >= least(F.col("total")) * (1 - 1e-9) - 1e-9)).select("id", "gram")
+
 
 def supports(scorer: Scorer) -> bool:
     return scorer.name in INDEXED and "element_similarity" not in dict(scorer.config)
@@ -68,10 +84,35 @@ def for_scorer(rows: DataFrame, scorer: Scorer) -> GramIndex:
     return GramIndex.build(rows, config.get("gram_size", 2), config.get("element_weights"), config.get("default_element_weight", 1.0))
 
 
-def scores(queries: GramIndex, choices: GramIndex, scorer: Scorer) -> DataFrame:
-    """``(q, c, score)`` of every pair that shares a gram, and of equal texts without a gram."""
+def _least_shared(scorer: Scorer, threshold: float) -> tuple[Callable, Callable, Column] | None:
+    """What each side must share of its total for the threshold, as functions of the total, and what a posting adds to it."""
+    config, family = dict(scorer.config), scorer.name.split(".")[0]
+    if family == "cosine":  # the part of the square sum from the first shared gram on
+        part = lambda total: total * threshold**2
+        return part, part, F.col("n") * F.col("n")
+    alpha, beta = (0.5, 0.5) if family == "dice" else (config.get("alpha", 0.5), config.get("beta", 0.5))
+    need = [threshold * x / (1 - threshold + threshold * x) if x else 0.0 for x in (alpha, beta)]
+    return *(lambda total, share=share: total * share for share in need), F.col("n") * F.col("w")
+
+
+def _alike(queries: GramIndex, choices: GramIndex, scorer: Scorer, threshold: float) -> DataFrame:
+    """``(q, c, score)`` of the pairs that share a gram with weight and meet a threshold above 0."""
+    first, second, amount = _least_shared(scorer, threshold)
+    often = choices.often
+    left = queries.opening(often, first, amount).select(F.col("id").alias("q"), "gram")
+    right = choices.opening(often, second, amount).select(F.col("id").alias("c"), "gram")
+    pairs = left.join(right, "gram").select("q", "c").distinct()
+    pairs = pairs.join(queries.totals.select(F.col("id").alias("q"), F.col("text").alias("x")), "q").join(choices.totals.select(F.col("id").alias("c"), F.col("text").alias("y")), "c")
+    return pairs.withColumn("score", scorer.column(F.col("x"), F.col("y"), threshold, once=True)).where("score is not null").select("q", "c", "score")
+
+
+def scores(queries: GramIndex, choices: GramIndex, scorer: Scorer, threshold: float | None = None) -> DataFrame:
+    """``(q, c, score)`` of every pair that shares a gram, and of equal texts without a gram; with a threshold above 0 of those that meet it."""
     if scorer.direction != SIMILARITY or not supports(scorer):
         raise TypeError(f"{scorer.name} has no gram index")
+    if threshold is not None and threshold > 0:
+        found = _alike(queries, choices, scorer, threshold)
+        return found.unionByName(_bare(queries, choices)).where(F.col("score") >= threshold)
     config = dict(scorer.config)
     left = queries.postings.select(F.col("id").alias("q"), "gram", F.col("n").alias("qn"))
     right = choices.postings.select(F.col("id").alias("c"), "gram", F.col("n").alias("cn"), "w")
@@ -93,9 +134,13 @@ def scores(queries: GramIndex, choices: GramIndex, scorer: Scorer) -> DataFrame:
         below = own + F.lit(alpha) * (x - own) + F.lit(beta) * (y - own)
         score = F.when(below > 0, own / below).otherwise(0.0)
     found = pairs.where(F.col("shared_mass") > 0).select("q", "c", score.alias("score"))
-    # Texts without priced grams share nothing: they are alike only if they are equal.
+    return found.unionByName(_bare(queries, choices))
+
+
+def _bare(queries: GramIndex, choices: GramIndex) -> DataFrame:
+    """Texts without priced grams share nothing: they are alike only if they are equal."""
     bare = F.col("mass") == 0
     bag = lambda t: t if not isinstance(queries.totals.schema["text"].dataType, ArrayType) else F.array_sort(t)
     x = queries.totals.where(bare).select(F.col("id").alias("q"), bag(F.col("text")).alias("text"))
     y = choices.totals.where(bare).select(F.col("id").alias("c"), bag(F.col("text")).alias("text"))
-    return found.unionByName(x.join(y, "text").select("q", "c", F.lit(1.0).alias("score")))
+    return x.join(y, "text").select("q", "c", F.lit(1.0).alias("score"))

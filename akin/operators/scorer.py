@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..functions.metrics import DISTANCE, SIMILARITY, Metric, element_score, kernel_column
+from ..functions.metrics import DISTANCE, SIMILARITY, Metric, element_score, kernel_column, priced
 from ..plans import thresholds as T
 from ..plans.bounds import edits
 
@@ -91,7 +91,7 @@ class Scorer:
         soft = config.get("element_similarity")
         weights = config.get("element_weights")
         return {
-            "alpha": config.get("alpha", 0.5), "beta": config.get("beta", 0.5), "weights": None if weights is None else dict(weights), "default": config.get("default_element_weight", 1.0),
+            "alpha": config.get("alpha", 0.5), "beta": config.get("beta", 0.5), "weights": None if weights is None else priced(weights), "default": config.get("default_element_weight", 1.0),
             "score": element_score(soft[0]) if soft else None, "threshold": soft[1] if soft else 1.0,
         }
 

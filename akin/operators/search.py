@@ -107,7 +107,7 @@ def similarity_join(questions: DataFrame, choices: DataFrame, scorer: Scorer, th
         scored = asked.crossJoin(texts).where(F.lit(False)).select("qid", "tid", F.lit(0.0).alias("score"))
     elif threshold is not None and threshold > 0 and X.supports(scorer):
         left, right = X.for_scorer(asked.toDF("id", "text"), scorer), X.for_scorer(texts.toDF("id", "text"), scorer)
-        scored = X.scores(left, right, scorer).where(F.col("score") >= threshold).select(F.col("q").alias("qid"), F.col("c").alias("tid"), "score")
+        scored = X.scores(left, right, scorer, threshold).select(F.col("q").alias("qid"), F.col("c").alias("tid"), "score")
     else:
         pairs = _candidates(asked, texts, scorer, threshold, is_array)
         pairs = asked.crossJoin(texts) if pairs is None else pairs.join(asked, "qid").join(texts, "tid")
@@ -237,7 +237,7 @@ class IndexedMatcher(Matcher):
             every = questions.select("q").crossJoin(self.choices.select("key", "ord"))
             rest = every.join(touched.select("q", "key"), ["q", "key"], "left_anti").withColumn("score", F.lit(0.0))
             return touched.unionByName(rest)
-        return self._touched(questions).where(F.col("score") >= threshold)
+        return self._touched(questions, threshold)
 
     def search(self, query, threshold: float | None = None, limit: int | None = 5, query_key: str = "q", query_text: str = "query") -> DataFrame:
         limit, threshold = _limit(limit), T.checked(threshold)
@@ -251,9 +251,9 @@ class IndexedMatcher(Matcher):
         fill = questions.select("q").crossJoin(F.broadcast(first)).join(touched.select("q", "key"), ["q", "key"], "left_anti").withColumn("score", F.lit(0.0))
         return _ranked(best.unionByName(fill), self.scorer, limit)
 
-    def _touched(self, questions: DataFrame) -> DataFrame:
+    def _touched(self, questions: DataFrame, threshold: float | None = None) -> DataFrame:
         asked = X.for_scorer(questions.where("query is not null").select(F.col("q").alias("id"), F.col("query").alias("text")), self.scorer)
-        scored = X.scores(asked, self.postings, self.scorer)
+        scored = X.scores(asked, self.postings, self.scorer, threshold)
         return scored.join(self.choices.select(F.col("key").alias("c"), F.col("key"), "ord"), "c").select("q", "key", "ord", "score")
 
 

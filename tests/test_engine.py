@@ -17,6 +17,7 @@ from akin.operators.soft import explain_column
 from akin.sources.collections import from_values, read_collection
 from akin.streaming.probe import first_seen, probe, search_stream
 
+# Example texts whose scores are published.
 TEAMS = ["new york mets", "new york jets", "the mets from new york", "atlanta braves", "new york mets", "", None, "a"]
 
 
@@ -144,6 +145,33 @@ def test_thresholds_lose_nothing_and_need_no_cross_product(spark, metric, thresh
     assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+BAGS = [
+    (M.dice, {}, 0.6), (M.dice, {"gram_size": 1}, 0.9), (M.cosine, {"gram_size": 3}, 0.35), (M.cosine, {}, 1.0), (M.tversky, {"alpha": 1, "beta": 0.1}, 0.5), (M.tversky, {"alpha": 0, "beta": 2}, 0.7),
+    (M.tversky, {"gram_size": 1, "alpha": 0.3, "beta": 0.3, "element_weights": {"a": 3.0, "b": 0.0}, "default_element_weight": 0.5}, 0.6),
+]
+
+
+@pytest.mark.parametrize(("family", "options", "threshold"), BAGS, ids=lambda x: getattr(x, "name", str(x)))
+def test_rare_grams_lose_nothing(spark, family, options, threshold):
+    rng = random.Random(21)
+    texts = ["".join(rng.choices("aaabbc d", k=rng.randint(0, 15))) for _ in range(80)]
+    texts += [t[1:] for t in texts[:25]] + [t + "z" for t in texts[:25]] + [texts[3], texts[4], "", "é"]
+    if options.get("element_weights"):
+        texts = [list(t) for t in texts]
+    kind = "array<string>" if options.get("element_weights") else "string"
+    scorer = create_scorer(family.similarity, **options)
+    rows = spark.createDataFrame(list(enumerate(texts)), f"key long, text {kind}")
+    asked = spark.createDataFrame(list(enumerate(texts[:45])), f"q long, query {kind}")
+    want = {(q, k): s for q, a in enumerate(texts[:45]) for k, b in enumerate(texts) if (s := scorer.score(a, b, threshold)) is not None}
+    for matcher in (S.create_indexed_matcher(rows, scorer), S.create_matcher(rows, scorer)):
+        got = {(r.q, r.key): r.score for r in matcher.search_iter(asked, threshold).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want) and want
+    index = S.create_indexed_matcher(rows, scorer).postings
+    if family is M.dice and not options:  # most postings of the most frequent gram are left out
+        held = index.opening(index.often, *S.X._least_shared(scorer, threshold)[1:]).where("gram = 'aa'").count()
+        assert held < index.postings.where("gram = 'aa'").count() / 2
+
+
 def test_contained_token_sets_of_any_size(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
