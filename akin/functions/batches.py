@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Longest bit vector in characters; pairs at once; entries of their table of characters.
-MOST, PAIRS, TABLE = 256, 4096, 1 << 20
+#: Longest bit vector in characters; pairs at once; entries of their table of characters, and of a matrix of texts.
+MOST, PAIRS, TABLE, CELLS = 256, 4096, 1 << 20, 1 << 21
 _ONE, _TOP, _FULL = np.uint64(1), np.uint64(63), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -78,12 +78,15 @@ def pairwise(measure: Callable, shorter_first: bool = True, bits: bool = True):
             x, y = _ordered(codes, offset, x, y, swap)
         order = np.lexsort((y.length, x.length))
         long = x.length if shorter_first else np.maximum(x.length, y.length)
+        widest = np.maximum(x.length, y.length)
         left = long > MOST if bits else np.zeros(len(a), bool)
         order = order[~left[order]]
         at = 0
         while at < len(order):
             words = -(-max(1, int(long[order[at : at + PAIRS]].max())) // 64)
             n = min(PAIRS, max(16, TABLE // (words * (kinds + 2)))) if bits else PAIRS
+            while n > 1 and n * int(widest[order[at : at + n]].max()) > CELLS:
+                n = max(1, min(n // 2, CELLS // int(widest[order[at : at + n]].max()) + 1))
             rows = order[at : at + n]
             out[rows] = measure(Chunk(x, y, rows, kinds), **config)
             at += n
@@ -106,6 +109,12 @@ class Chunk:
         self.a, self.b = x.matrix(rows, kinds), y.matrix(rows, kinds + 1)
         self.words = -(-max(1, self.a.shape[1]) // 64)
 
+    def made(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> Chunk:
+        """Other pairs of the same characters."""
+        new = Chunk.__new__(Chunk)
+        new.kinds, new.a, new.b, new.n, new.m, new.words = self.kinds, a, b, n, m, -(-max(1, a.shape[1]) // 64)
+        return new
+
     def places(self, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Bit vectors by pair and character, flat; and where each pair's begin. The pad's are never looked up."""
         side = self.a if side is None else side
@@ -266,6 +275,143 @@ def _both(chunk: Chunk) -> np.ndarray:
     return chunk.n + chunk.m
 
 
+def _openings(chunk: Chunk) -> np.ndarray:
+    """The best ratio of the first side with a beginning of the second that isn't longer."""
+    state = [np.full(len(chunk.n), _FULL) for _ in range(chunk.words)]
+    best = np.zeros(len(chunk.n))
+    for j, match in chunk.matches():
+        if j >= chunk.a.shape[1]:
+            break
+        carry = None
+        for w, (v, m) in enumerate(zip(state, match, strict=True)):
+            u = v & m
+            total, carry = _plus(v, u, carry, w + 1 == chunk.words)
+            state[w] = total | (v - u)
+        common = sum(np.bitwise_count(~v).astype(np.int64) for v in state)
+        best = np.maximum(best, np.where((j < chunk.n) & (j < chunk.m), 200 * common / (chunk.n + j + 1), 0.0))
+    return best
+
+
+def _partial(chunk: Chunk) -> np.ndarray:
+    """The best ratio of the first side (the shorter) with a window of the second, or of either if both are equally long."""
+    backwards = chunk.made(_flipped(chunk.a, chunk.n, chunk.kinds), _flipped(chunk.b, chunk.m, chunk.kinds + 1), chunk.n, chunk.m)
+    best = np.maximum(_openings(chunk), _openings(backwards))
+    same = np.flatnonzero((chunk.n == chunk.m) & (best < 100))
+    if len(same):
+        for side in (chunk, backwards):
+            turned = chunk.made(*(np.where(m >= chunk.kinds, pad, m) for m, pad in ((side.b[same], chunk.kinds), (side.a[same], chunk.kinds + 1))), chunk.m[same], chunk.n[same])
+            best[same] = np.maximum(best[same], _openings(turned))
+    # Windows in the middle that end with a character of the first side; no other is better than all of them.
+    table, base = chunk.places()
+    ends = np.zeros(chunk.b.shape, bool)
+    for j, at in enumerate(_lookups(base, chunk.b, chunk.words)):
+        ends[:, j] = (j >= chunk.n - 1) & (j < chunk.m - 1) & (sum(table.take(at + w) for w in range(chunk.words)) != 0)
+    row, last = np.nonzero(ends & (chunk.n > 0)[:, None] & (best < 100)[:, None])
+    for at in range(0, len(row), PAIRS):
+        r, e = row[at : at + PAIRS], last[at : at + PAIRS]
+        place = np.arange(chunk.a.shape[1])
+        window = np.take_along_axis(chunk.b[r], np.minimum((e - chunk.n[r] + 1)[:, None] + place, chunk.b.shape[1] - 1), 1)
+        window = np.where(place < chunk.n[r][:, None], window, chunk.kinds + 1)
+        np.maximum.at(best, r, 100 * _common(chunk.made(chunk.a[r], window, chunk.n[r], chunk.n[r])) / np.maximum(chunk.n[r], 1))
+    return np.where(chunk.m == 0, 100.0, best)
+
+
+def _listed(column: pa.Array) -> list[str]:
+    return column.cast(pa.string()).fill_null("").to_pylist()
+
+
+def _derived(score: Callable, derive: Callable[[str], str]):
+    """A score of texts that are derived from the operands, each distinct one once."""
+
+    def run(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sides = []
+        for column in (a, b):
+            coded = column.cast(pa.string()).fill_null("").dictionary_encode()
+            sides.append(pa.array([derive(x) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices))
+        return score(*sides)
+
+    return run
+
+
+def _sorted(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
+def _token_set(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    sets = [{}, {}]
+    first, second, sizes = [], [], np.zeros((4, len(a)))
+    for i, pair in enumerate(zip(_listed(a), _listed(b), strict=True)):
+        x, y = (known.get(t) or known.setdefault(t, frozenset(t.split())) for known, t in zip(sets, pair, strict=True))
+        both = x & y
+        p, q = " ".join(sorted(x - both)), " ".join(sorted(y - both))
+        first.append(p)
+        second.append(q)
+        sizes[:, i] = len(" ".join(both)), len(p), len(q), 0 if not x or not y else 1 if both and (len(both) == len(x) or len(both) == len(y)) else 2
+    common, left = SCORES["lcs"]["similarity"](pa.array(first, pa.string()), pa.array(second, pa.string()))
+    sect, p, q, kind = sizes
+    gap = sect > 0
+    one, two = sect + gap + p, sect + gap + q
+    with np.errstate(divide="ignore", invalid="ignore"):
+        best = 100 - 100 * (p + q - 2 * common) / (one + two)
+        best = np.where(gap, np.maximum(best, np.maximum(100 - 100 * (1 + p) / (sect + one), 100 - 100 * (1 + q) / (sect + two))), best)
+    return np.where(kind == 0, 0.0, np.where(kind == 1, 100.0, best)), left & (kind == 2)
+
+
+def _unshared(lists: bool):
+    """Partial ratio of the sorted tokens of pairs that share none; 100 for the others. ``lists``: repeated tokens too, and two texts without tokens are alike."""
+
+    def run(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        known: dict[str, frozenset] = {}
+        out, rest, derived = np.full(len(a), 100.0), [], ([], [], [], [])
+        for i, (p, q) in enumerate(zip(_listed(a), _listed(b), strict=True)):
+            x, y = (known.get(t) or known.setdefault(t, frozenset(t.split())) for t in (p, q))
+            if x.isdisjoint(y):
+                rest.append(i)
+                for at, part in enumerate((" ".join(sorted(x)), " ".join(sorted(y)), _sorted(p), _sorted(q))):
+                    derived[at].append(part)
+        left = np.zeros(len(a), bool)
+        if rest:
+            columns = [pa.array(d, pa.string()) for d in derived]
+            partial = SCORES["fuzz"]["partial_ratio"]
+            best, left[rest] = partial(*columns[:2])
+            if lists:
+                more, other = partial(*columns[2:])
+                best, left[rest] = np.maximum(best, more), left[rest] | other
+            else:
+                empty = np.array([not p or not q for p, q in zip(*derived[:2], strict=True)])
+                best = np.where(empty, 0.0, best)
+            out[rest] = best
+        return out, left
+
+    return run
+
+
+def _weighted(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x, y = _listed(a), _listed(b)
+    n, m = (np.fromiter(map(len, side), np.int64, len(side)) for side in (x, y))
+    some = (n > 0) & (m > 0)
+    share = np.maximum(n, m) / np.maximum(np.minimum(n, m), 1)
+    best, left = SCORES["fuzz"]["ratio"](a, b)
+    spaced = np.fromiter((any(map(str.isspace, p)) or any(map(str.isspace, q)) for p, q in zip(x, y, strict=True)), bool, len(x))
+    scale = np.where(share <= 8, 0.9, 0.6)
+    for own, name, factor in ((some & (share < 1.5) & spaced, "token_ratio", 0.95 + 0 * scale), (some & (share >= 1.5), "partial_ratio", scale), (some & (share >= 1.5), "partial_token_ratio", 0.95 * scale)):
+        rows = np.flatnonzero(own)
+        if len(rows):
+            take = pa.array(rows)
+            found, out = SCORES["fuzz"][name](a.take(take), b.take(take))
+            best[rows] = np.maximum(best[rows], found * factor[rows])
+            left[rows] |= out
+    return np.where(some, best, 0.0), left & some
+
+
+def _best_of(*scores: Callable):
+    def run(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [score(a, b) for score in scores]
+        return np.maximum.reduce([f for f, _ in found]), np.logical_or.reduce([left for _, left in found])
+
+    return run
+
+
 def _counted(texts: Texts, n: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ``row * grams + gram`` in order, how often each occurs, and how many grams each row has."""
     many = np.maximum(texts.length - n + 1, 0)
@@ -334,5 +480,11 @@ SCORES: dict[str, dict[str, Callable]] = {
     "postfix": _scales(lambda c: _longer(c) - _ended(c), _longer, **_ends),
     "jaro": {"similarity": pairwise(_jaro, shorter_first=False), "distance": pairwise(lambda c: 1.0 - _jaro(c), shorter_first=False)},
     "jaro_winkler": {"similarity": pairwise(_jaro_winkler, shorter_first=False), "distance": pairwise(lambda c, **w: 1.0 - _jaro_winkler(c, **w), shorter_first=False)},
-    "dice": _kinds(_dice), "cosine": _kinds(_cosine), "tversky": _kinds(_tversky), "fuzz": {"ratio": pairwise(_ratio)},
+    "dice": _kinds(_dice), "cosine": _kinds(_cosine), "tversky": _kinds(_tversky), "fuzz": {"ratio": pairwise(_ratio), "partial_ratio": pairwise(_partial)},
 }
+SCORES["fuzz"]["token_sort_ratio"] = _derived(SCORES["fuzz"]["ratio"], _sorted)
+SCORES["fuzz"]["partial_token_sort_ratio"] = _derived(SCORES["fuzz"]["partial_ratio"], _sorted)
+SCORES["fuzz"]["token_ratio"] = _best_of(_token_set, SCORES["fuzz"]["token_sort_ratio"])
+SCORES["fuzz"]["partial_token_set_ratio"] = _unshared(lists=False)
+SCORES["fuzz"]["partial_token_ratio"] = _unshared(lists=True)
+SCORES["fuzz"]["weighted_ratio"] = _weighted

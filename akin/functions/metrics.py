@@ -143,7 +143,7 @@ _both = lambda a, b, **_: len(a) + len(b)
 
 levenshtein = _edit_family(
     "levenshtein", lambda a, b, weights=(1, 1, 1): K.levenshtein(a, b, weights), lambda a, b, weights=(1, 1, 1): K.levenshtein_maximum(len(a), len(b), weights),
-    ("weights",), E.levenshtein, lambda c: "weights" not in c or c["weights"][0] == c["weights"][1], _weights,
+    ("weights",), lambda left, right, **c: E.levenshtein(left, right, **c) if c else None, lambda c: "weights" not in c or c["weights"][0] == c["weights"][1], _weights,
 )
 lcs = _edit_family("lcs", lambda a, b: max(len(a), len(b)) - K.lcs(a, b), _longer)
 indel = _edit_family("indel", lambda a, b: len(a) + len(b) - 2 * K.lcs(a, b), _both)
