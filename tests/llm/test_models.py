@@ -230,6 +230,41 @@ def test_additive_model_learns_a_pair():
     assert ((model.score(x[3000:]) > 0.5) == (y[3000:] > 0.5)).mean() > 0.9 and (0, 1) in model.pairs
 
 
+def test_table_lookups_equal_summed_trees(monkeypatch):
+    """Each tree is kept as its step over bins, and a row's score is summed tree by tree with plain comparisons."""
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 4)).astype(np.float32)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2]) > 0.7).astype(float)
+    steps, nested, pair_steps = [], [0], []
+    tree, pair_tree = quality.AdditiveModel._tree, quality.AdditiveModel._pair_tree
+
+    def kept(self, g, h):
+        found = tree(self, g, h)
+        if not nested[0]:
+            steps.append(found)
+        return found
+
+    def kept_pair(self, g, h):
+        nested[0] += 1
+        found = pair_tree(self, g, h)
+        nested[0] -= 1
+        pair_steps.append(found)
+        return found
+
+    monkeypatch.setattr(quality.AdditiveModel, "_tree", kept)
+    monkeypatch.setattr(quality.AdditiveModel, "_pair_tree", kept_pair)
+    model = quality.AdditiveModel().fit(x[:500], y[:500])
+    assert len(steps) == model.rounds * 4 and len(pair_steps) == model.pair_rounds * len(model.pairs) > 0
+    place = lambda edges, v: sum(v >= e for e in edges.tolist())
+    for row, got in zip(x[500:540], model.score(x[500:540]), strict=True):
+        logit = model.base + sum(step[place(model.edges[k % 4], row[k % 4])] for k, step in enumerate(steps))
+        for k, step in enumerate(pair_steps):
+            i, j = model.pairs[k % len(model.pairs)]
+            logit += step[place(model.coarse[i], row[i]), place(model.coarse[j], row[j])]
+        assert abs(got - 1 / (1 + np.exp(-logit))) < 1e-9
+    assert all(len(set(step.tolist())) <= model.leaves for step in steps)
+
+
 def shingles(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
