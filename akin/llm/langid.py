@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .text import checkpointed, chunks, mix
 
 ORDER, SPACE = 4, 0x20
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 MAX_GRAMS, CALIBRATION_ROWS = 1_000_000, 4_000
 LABEL_ROWS, LABEL_GRAMS = 200, 1_000
 #: Share of a label's rows that may be kept out of the counts; labels of fewer rows keep none out.

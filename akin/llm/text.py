@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 18
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _BASES = (0x9E3779B97F4A7C55, 0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -233,8 +233,11 @@ def checkpointed(spark, df):
         if not folder:
             if not re.fullmatch(r"local(\[.*\])?", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import atexit
+            import shutil
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="akin-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
