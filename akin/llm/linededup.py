@@ -161,6 +161,7 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
 
     runs = docs.select("id", "mark", "h", "i", "n").mapInArrow(find, "id long, mark long, key long, own array<int>")
     shared = runs.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
+    shared = checkpointed(spark, shared)  # else the join below would follow the sums' partitions, which Spark doesn't split
     # A holder's place among a run's holders in an order by hash, but for chance; places are from 0 to their number.
     place = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 32)) * F.col("n") / F.lit(float(1 << 32))
     held = checkpointed(spark, runs.join(shared, "key").withColumn("place", place))
