@@ -44,7 +44,7 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Rounds that try members against one member of their bucket's largest component; rows of a key that stay together; text bytes signed at once.
 HUB_ROUNDS, SALT_ROWS, CHUNK = 1, 256, 1 << 20
 #: Most members, and most bytes of their cells, in a block that is compared with another.
-BLOCK, BLOCK_BYTES = 512, 2 << 20
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 _LOW48 = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
