@@ -14,7 +14,7 @@ linear number of pairs. Of buckets that then still hold several components, text
 that can't be alike any other: of each the rarest fifth of its cells (by their number of texts)
 would meet every text that is alike, so texts with much of their own drop out, however large their
 bucket. What is left of a bucket is compared in full, block against block, by matrix products of which only
-links that join components come out; the blocks' pairs are dealt to all tasks. That is exact, and
+links that join components come out (a bucket's blocks travel once; Spark splits a large bucket's join). That is exact, and
 the one step whose work can grow with the square of a group: of many texts nearly alike enough.
 Rows of a key are dealt out by ``SALT_ROWS``, so no task gets a whole large bucket. Shingle profiles are
 made for candidates only. Components are found by Spark (large-star and small-star); neither
@@ -282,16 +282,15 @@ def _meeting(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFram
 def _across(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` that join all components of each key's members ``(key, salt, n, d, root)`` which any alike pair joins: block against block."""
     spark = rest.sparkSession
-    near = rest.join(sized(_meeting(rest, profiles, threshold)), "d").join(profiles, "d").select("key", "salt", "n", "d", "root", "cells")
-    near = checkpointed(spark, near)
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("cells")) / BLOCK_BYTES))
+    sizes = profiles.select("d", F.length("cells").alias("size"))
+    near = checkpointed(spark, rest.join(sized(_meeting(rest, profiles, threshold)), "d").join(sizes, "d").select("key", "salt", "n", "d", "root", "size"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES))
     counted = near.groupBy("key").agg(size.alias("blocks"), F.first("n").alias("n"))
     parts = near.join(_spread(counted).select("key", "salt", "blocks"), ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")))
-    parts = parts.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("d", "root", "cells")).alias("members"))
+    parts = parts.join(profiles.select("d", "cells"), "d").groupBy("key", "block").agg(F.collect_list(F.struct("d", "root", "cells")).alias("members"))
     parts = checkpointed(spark, parts)
-    left = parts.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("members").alias("left"))
-    right = parts.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("members").alias("right"))
-    return left.join(right, ["key", "i", "j"]).select("left", "right").mapInArrow(_linking(threshold), "a long, b long").distinct()
+    left, right = (parts.select("key", F.col("block").alias(i), F.col("members").alias(side)) for i, side in (("i", "left"), ("j", "right")))
+    return left.join(right, "key").where("i <= j").select("left", "right").mapInArrow(_linking(threshold), "a long, b long").distinct()
 
 
 def _linked(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
