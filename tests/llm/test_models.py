@@ -70,6 +70,23 @@ def test_kneser_ney_in_spark(uneven_texts, monkeypatch):
             assert len(got.levels[0][0]) < 300 and total <= 1 + 1e-9 and lower <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("room", [30, 200])
+def test_grams_beside_the_broadcast_change_nothing(spark, uneven_texts, monkeypatch, room):
+    """Every column is the same whether all grams are broadcast, or a few, and the others join."""
+    monkeypatch.setattr(langid, "LABEL_GRAMS", 5)
+    odd = [None, "", "123 --", "x" * 5000, "zzxq wwyx " * 50, "мы говорим", "eau oique aisé", "kato STRUNG 𝒳𐐀 ᏣᎳᎩ", "ﬃ 漢字 " * 3, "kamire"]
+    odd = spark.createDataFrame([(2000 + i, t, None) for i, t in enumerate(odd + ["kamire sutoto ungver"] * 30)], uneven_texts.schema)
+    whole = langid.train(uneven_texts)
+    beside = langid.train(uneven_texts, max_grams=room)
+    assert whole.rest is None and beside.rest is not None and len(beside.grams[0].hashes) < len(whole.grams[0].hashes) / 2
+    assert np.array_equal(whole.usual, beside.usual) and (whole.steep, whole.power) == (beside.steep, beside.power)
+    rows = uneven_texts.union(odd)
+    want, got = (langid.predict(rows, m, into="text_found").orderBy("doc_id").collect() for m in (whole, beside))
+    assert len(want) == 446 and got == want and got[0].__fields__ == want[0].__fields__
+    replaced = langid.predict(odd.limit(5).withColumn("lang", F.lit("kamire")), beside, "lang", "text")
+    assert replaced.columns == ["doc_id", "text", "lang"] and {r.text.lang_pred for r in replaced.collect()} == {"aa"}
+
+
 def test_rare_language_is_rejected_too(spark, uneven_texts):
     model = langid.train(uneven_texts, calibration_rows=20)
     assert np.isfinite(model.usual).all()
