@@ -36,7 +36,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import checkpointed, chunks, mix
@@ -366,6 +366,12 @@ def _shorter(level: DataFrame, m: int) -> DataFrame:
     return checkpointed(level.sparkSession, level.groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def _by_language(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A few rows of a language and longs. Made from Arrow, as a list's rows would start further Python workers, which stay."""
+    lang, *numbers = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table([pa.array(lang, pa.string()), *(pa.array(n, pa.int64()) for n in numbers)], ["lang", *names]))
+
+
 def _frequent(level: DataFrame, room: int) -> tuple[DataFrame, dict[str, dict[int, int]]]:
     """About ``room`` rows of ``(lang, gram, n)``, each language's most frequent; and by language how many grams have a count."""
     kinds: dict[str, dict[int, int]] = {}
@@ -381,7 +387,7 @@ def _frequent(level: DataFrame, room: int) -> tuple[DataFrame, dict[str, dict[in
             share -= kinds[name][n]
         cuts.append((name, least, int(ties * (1 << 20))))
     tie = (F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < F.col("ties"))
-    bounds = level.sparkSession.createDataFrame(cuts, "lang string, least long, ties long")
+    bounds = _by_language(level.sparkSession, cuts, "least", "ties")
     return level.join(F.broadcast(bounds), "lang").where((F.col("n") > F.col("least")) | tie), kinds
 
 
@@ -525,7 +531,7 @@ def train(
 
     def sides() -> tuple[DataFrame, DataFrame]:
         """The rows that are learned from, and those that are kept out."""
-        both = rows.join(F.broadcast(spark.createDataFrame(list(cuts.items()), "lang string, cut long")), "lang")
+        both = rows.join(F.broadcast(_by_language(spark, list(cuts.items()), "cut")), "lang")
         return both.where("at >= cut"), both.where("at < cut")
 
     counts = checkpointed(spark, count_grams(sides()[0], F.col("lang"), F.col("text")))

@@ -87,6 +87,15 @@ def test_grams_beside_the_broadcast_change_nothing(spark, uneven_texts, monkeypa
     assert replaced.columns == ["doc_id", "text", "lang"] and {r.text.lang_pred for r in replaced.collect()} == {"aa"}
 
 
+def test_training_starts_no_further_python_workers(spark, uneven_texts, monkeypatch):
+    """A list made a DataFrame goes through an RDD, whose Python workers are others than those of Arrow functions and stay in each executor."""
+    rows = uneven_texts.localCheckpoint()
+    monkeypatch.setattr(langid, "LABEL_GRAMS", 5)
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *a, **b: pytest.fail("an RDD"))
+    for room in (30, langid.MAX_GRAMS):
+        assert langid.train(rows, max_grams=room).langs == ["aa", "bb", "cc"]
+
+
 def test_rare_language_is_rejected_too(spark, uneven_texts):
     model = langid.train(uneven_texts, calibration_rows=20)
     assert np.isfinite(model.usual).all()
