@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import checkpointed
+from .text import settled
 
 #: Rows of one or two longs that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -51,7 +51,7 @@ def components(spark, edges: DataFrame, rounds: int = 60, task_edges: int = TASK
     logarithmic number of rounds; each round's edges are checkpointed.
     """
     kind = edges.schema["a"].dataType.simpleString()
-    edges = checkpointed(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    edges = settled(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
     if edges.count() <= task_edges:
         return edges.coalesce(1).mapInArrow(_joined_in_task, f"node {kind}, root {kind}")
     before = None
@@ -61,7 +61,7 @@ def components(spark, edges: DataFrame, rounds: int = 60, task_edges: int = TASK
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = checkpointed(spark, small.select("e.*").where("a <> b").distinct())
+        edges = settled(spark, small.select("e.*").where("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components, sized
-from .text import ALNUM_HIGH, checkpointed, chunks, mix, release, rolling, starts_inside, words_of
+from .text import ALNUM_HIGH, chunks, mix, release, rolling, settled, starts_inside, words_of
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Rounds that try members against one member of their bucket's largest component; rows of a key that stay together; text bytes signed at once.
@@ -269,26 +269,26 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _meeting(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
     """``d`` of the texts that share one of their rarest cells with a text of another component; no others can be alike enough."""
     spark = rest.sparkSession
-    held = checkpointed(spark, rest.select("d", "root").distinct().join(profiles, "d").select("d", "root", "cells"))
+    held = settled(spark, rest.select("d", "root").distinct().join(profiles, "d").select("d", "root", "cells"))
     cells = held.select("d", "cells").mapInArrow(_cells, "d long, cell long")
     counted = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     known = cells.join(counted, "cell").groupBy("d").agg(F.collect_list("cell").alias("frequent"), F.collect_list("texts").alias("counts"))
     first = held.join(known, "d").select("d", "cells", "frequent", "counts").mapInArrow(_opening(threshold), "d long, cell long")
-    first = checkpointed(spark, first.join(held.select("d", "root"), "d"))
+    first = settled(spark, first.join(held.select("d", "root"), "d"))
     several = first.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-    return checkpointed(spark, first.join(several, "cell").select("d").distinct())
+    return settled(spark, first.join(several, "cell").select("d").distinct())
 
 
 def _across(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` that join all components of each key's members ``(key, salt, n, d, root)`` which any alike pair joins: block against block."""
     spark = rest.sparkSession
     sizes = profiles.select("d", F.length("cells").alias("size"))
-    near = checkpointed(spark, rest.join(sized(_meeting(rest, profiles, threshold)), "d").join(sizes, "d").select("key", "salt", "n", "d", "root", "size"))
+    near = settled(spark, rest.join(sized(_meeting(rest, profiles, threshold)), "d").join(sizes, "d").select("key", "salt", "n", "d", "root", "size"))
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES))
     counted = near.groupBy("key").agg(size.alias("blocks"), F.first("n").alias("n"))
     parts = near.join(_spread(counted).select("key", "salt", "blocks"), ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")))
     parts = parts.join(profiles.select("d", "cells"), "d").groupBy("key", "block").agg(F.collect_list(F.struct("d", "root", "cells")).alias("members"))
-    parts = checkpointed(spark, parts)
+    parts = settled(spark, parts)
     left, right = (parts.select("key", F.col("block").alias(i), F.col("members").alias(side)) for i, side in (("i", "left"), ("j", "right")))
     return left.join(right, "key").where("i <= j").select("left", "right").mapInArrow(_linking(threshold), "a long, b long").distinct()
 
@@ -296,41 +296,41 @@ def _across(rest: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame
 def _linked(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The signed rows ``(id, mark, digest)``, digests with their first row (``first``: none, id, mark), and components ``(node, root)`` of linked digests."""
     spark = docs.sparkSession
-    signed = checkpointed(spark, docs.mapInArrow(_signing(shingle, bands, rows), "id long, mark long, digest binary, keys array<long>"))
+    signed = settled(spark, docs.mapInArrow(_signing(shingle, bands, rows), "id long, mark long, digest binary, keys array<long>"))
     own = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     nodes = signed.where("digest is not null").groupBy("digest").agg(F.min(own).alias("first"), F.first("keys").alias("keys"))
-    nodes = checkpointed(spark, nodes.withColumn("d", F.xxhash64("digest")))
+    nodes = settled(spark, nodes.withColumn("d", F.xxhash64("digest")))
     members = nodes.select("d", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("d").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = checkpointed(spark, members.join(buckets, "key").select("key", "d", "lead", "n"))
-    pairs = checkpointed(spark, shared.where("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct())
-    wanted = checkpointed(spark, nodes.join(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "d").select("first.id", "first.mark"))
+    shared = settled(spark, members.join(buckets, "key").select("key", "d", "lead", "n"))
+    pairs = settled(spark, shared.where("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct())
+    wanted = settled(spark, nodes.join(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "d").select("first.id", "first.mark"))
     wanted = sized(wanted)
     held = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["mark"] == wanted["mark"]), "left_semi")
     profiles = held.mapInArrow(_profiles(shingle), "digest binary, cells binary").dropDuplicates(["digest"])
-    profiles = checkpointed(spark, profiles.withColumn("d", F.xxhash64("digest")))
+    profiles = settled(spark, profiles.withColumn("d", F.xxhash64("digest")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (profiles.select(F.col("d").alias(x), F.col("digest").alias(f"{x}_node"), F.col("cells").alias(f"{x}_cells")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a").where("a_node <> b_node").select("a_node", "b_node", "a_cells", "b_cells")
-        return checkpointed(spark, both.mapInArrow(_verifying(threshold), "a binary, b binary"))
+        return settled(spark, both.mapInArrow(_verifying(threshold), "a binary, b binary"))
 
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-        return checkpointed(spark, components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(links)))
+        return settled(spark, components(spark, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(links)))
 
-    roots = checkpointed(spark, components(spark, verified(pairs)))
+    roots = settled(spark, components(spark, verified(pairs)))
     several = shared.where("n > 2").select("key", "d", "n", F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / SALT_ROWS)).alias("salt"))
     for turn in range(HUB_ROUNDS):
-        mixed = checkpointed(spark, _mixed(several, roots))
+        mixed = settled(spark, _mixed(several, roots))
         hubs = mixed.where("root = hub").groupBy("key").agg(F.min(F.struct(F.xxhash64("d", F.lit(turn)), "d"))["d"].alias("a"), F.first("n").alias("n"))
         tries = mixed.where("root <> hub").join(_spread(hubs).select("key", "salt", "a"), ["key", "salt"]).select(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b"))
-        more = verified(checkpointed(spark, tries.distinct()))
+        more = verified(settled(spark, tries.distinct()))
         if more.isEmpty():
             break
         roots = joined(roots, more)
-    rest = checkpointed(spark, _mixed(several, roots).select("key", "salt", "n", "d", "root"))
+    rest = settled(spark, _mixed(several, roots).select("key", "salt", "n", "d", "root"))
     if not rest.isEmpty():
-        more = verified(checkpointed(spark, _across(rest, profiles, threshold)))
+        more = verified(settled(spark, _across(rest, profiles, threshold)))
         if not more.isEmpty():
             roots = joined(roots, more)
     return signed.drop("keys"), nodes.select("digest", "first"), roots
@@ -341,7 +341,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold:
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     signed, nodes, roots = _linked(docs, shingle, threshold, bands, rows)
     placed = roots.join(nodes.withColumnRenamed("digest", "node"), "node")
-    leads = checkpointed(df.sparkSession, placed.groupBy("root").agg(F.min("first").alias("lead")))
+    leads = settled(df.sparkSession, placed.groupBy("root").agg(F.min("first").alias("lead")))
     lead = roots.join(sized(leads), "root").select(F.col("node").alias("digest"), "lead")
     found = nodes.join(lead, "digest", "left").select("digest", F.coalesce("lead", "first").alias("first"))
     return signed.join(found, "digest", "left").select("id", "mark", "first")
@@ -352,14 +352,14 @@ def classes(
 ) -> DataFrame:
     """``(id, class_id)``, one row an id; class_id is the smallest id of its class of near copies."""
     spark = df.sparkSession
-    judged = checkpointed(spark, _judged(df, id_col, text_col, shingle, threshold, bands, rows).where("id is not null").select("id", F.col("first.id").alias("own")))
-    found = checkpointed(spark, judged.groupBy("id").agg(F.min("own").alias("own"), F.max("own").alias("last")))
+    judged = settled(spark, _judged(df, id_col, text_col, shingle, threshold, bands, rows).where("id is not null").select("id", F.col("first.id").alias("own")))
+    found = settled(spark, judged.groupBy("id").agg(F.min("own").alias("own"), F.max("own").alias("last")))
     several = found.where("own < last").select("id")
     if several.isEmpty():
         return found.select(F.col("id").alias(id_col), F.coalesce("own", "id").alias("class_id"))
     # The texts of an id belong together: the classes that it joins are one.
     edges = judged.where("own is not null").join(several, "id").select(F.col("id").alias("a"), F.col("own").alias("b"))
-    roots = checkpointed(spark, components(spark, edges.union(several.select("id", "id").toDF("a", "b")).distinct()))
+    roots = settled(spark, components(spark, edges.union(several.select("id", "id").toDF("a", "b")).distinct()))
     found = found.withColumn("node", F.coalesce("own", "id")).join(roots, "node", "left")
     return found.select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("class_id"))
 

@@ -241,3 +241,18 @@ def checkpointed(spark, df):
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+#: Has Spark (4.1 and later; others ignore it) drop an action's shuffle files at its end; read when a frame is made.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(spark, df):
+    """:func:`checkpointed`, and the shuffles behind it go at once, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        own = df.select("*")  # its own plan, so nothing else reads these shuffles
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    return checkpointed(spark, own)

@@ -1,12 +1,15 @@
 """Operators 6 to 9 against brute force."""
 
+import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from akin.llm import decontam, graphs, linededup, neardup, substring
+from akin.llm.text import DROP_SHUFFLES
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -130,6 +133,23 @@ def test_near_duplicates(documents, corpus):
     assert got == expected_classes(corpus)
 
 
+def test_near_duplicates_leave_few_shuffle_files(spark, documents, monkeypatch):
+    """Shuffles go as soon as what they lead to is written, not when the driver's JVM collects its garbage."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+
+    def shuffles():
+        return {n.split("_")[1] for f in folders for _, _, names in os.walk(f.getPath()) for n in names if n.startswith("shuffle_")}
+
+    frames, settled = [], neardup.settled  # frames that are held keep their shuffles from the garbage
+    monkeypatch.setattr(neardup, "settled", lambda spark, df: frames.append(df) or settled(spark, df))
+    before, kept, end = shuffles(), spark.conf.get(DROP_SHUFFLES), time.time() + 20
+    neardup.classes(documents)
+    assert len(frames) > 10
+    while len(shuffles() - before) > 10 and time.time() < end:  # files go in the background
+        time.sleep(0.2)
+    assert len(shuffles() - before) <= 10 and spark.conf.get(DROP_SHUFFLES) == kept
+
+
 def test_near_duplicates_chain(spark, rng):
     """A chain whose ends are far apart, in buckets of one band each, still is one class."""
     words = [f"w{i}" for i in range(400)]
