@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,15 @@ from pyspark.sql import functions as F
 WHITE = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value worked out once however often it is used; Spark repeats it in each branch otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def levenshtein(left: Column, right: Column, weights=(1, 1, 1), most: Column | None = None) -> tuple[Column, Column] | None:
     """Distance and its largest value. Other than uniform weights have no native form.
 
-    ``most``: a distance beyond which only a narrow band of the table is worked out; it is null then.
+    ``most``: a distance beyond which only a narrow band of the table is worked out; it is below 0 then.
     """
     if len(set(weights)) > 1:
         return None
@@ -21,7 +28,6 @@ def levenshtein(left: Column, right: Column, weights=(1, 1, 1), most: Column | N
         apart = F.levenshtein(left, right)
     else:
         apart = F.call_function("levenshtein", left, right, F.greatest(most, F.lit(0)).cast("int"))
-        apart = F.when(apart >= 0, apart)
     return apart * F.lit(w), F.greatest(F.length(left), F.length(right)) * F.lit(w)
 
 

@@ -115,9 +115,12 @@ def _edit_family(name: str, measure: Callable, maximum: Callable, keys: tuple[st
             if found is None:
                 return None
             d, most = found
-            share = F.when(most > 0, d / most).otherwise(0.0)
-            score = {"distance": d, "similarity": most - d, "normalized_distance": share, "normalized_similarity": 1.0 - share}[kind].cast("double")
-            return F.when(d.isNotNull(), score) if "most" in c else score
+
+            def score(d: Column) -> Column:
+                share = F.when(most > 0, d / most).otherwise(0.0)
+                return {"distance": d, "similarity": most - d, "normalized_distance": share, "normalized_similarity": 1.0 - share}[kind].cast("double")
+
+            return E.let(d, lambda d: F.when(d >= 0, score(d))) if "most" in c else score(d)
 
         return build
 

@@ -18,6 +18,10 @@ KINDS = {
 }
 
 
+#: Pairs of a block that are made together, and about as many as a task makes, unless that takes too many tasks.
+BLOCK_PAIRS, MOST_TASKS = 1 << 18, 10_000
+
+
 def rejected(scorer: Scorer, threshold: float) -> float:
     """What a pair that misses the threshold is stored as."""
     worst = scorer.bounds[0] if scorer.direction == SIMILARITY else scorer.bounds[1]
@@ -71,6 +75,33 @@ def zip_pairs(left: DataFrame, right: DataFrame, index: str = "i") -> DataFrame:
     return joined.withColumn(sides[0], F.when(here, F.raise_error(F.lit("both sides must have the same length")).cast(joined.schema[sides[0]].dataType)).otherwise(F.col(sides[0])))
 
 
+def blocked_pairs(left: DataFrame, right: DataFrame, block: list[tuple[Column, Column]]) -> DataFrame:
+    """All pairs of rows whose two columns of each of ``block`` are equal and not null, with both sides' columns, which differ by name.
+
+    Blocks are counted first (a job), and dealt over as many tasks as their pairs need, however few files the
+    sides have. A block of more than ``BLOCK_PAIRS`` pairs is cut: each part has a share of its larger side's
+    rows and all of the smaller one's.
+    """
+    mark = "_" * (1 + max(map(len, left.columns + right.columns)))  # longer than any column's name
+    keys = [f"{mark}{i}" for i in range(len(block))]
+    n, m, cuts, cut = (mark + x for x in ("n", "m", "cuts", "cut"))
+    sides = [side.select("*", *(on[i].alias(k) for k, on in zip(keys, block, strict=True))) for i, side in enumerate((left, right))]
+    counts = [side.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(x)) for side, x in zip(sides, (n, m), strict=True)]
+    sizes = counts[0].join(counts[1], keys).withColumn(cuts, F.least(F.ceil(F.col(n) * F.col(m) / BLOCK_PAIRS), F.greatest(n, m).cast("long")))
+    total, most = sizes.agg(F.sum(F.col(n) * F.col(m)), F.max(cuts)).first()
+    tasks = min(math.ceil((total or 0) / BLOCK_PAIRS), MOST_TASKS)
+    if tasks > 1 and most > 1:
+        larger = F.col(n) >= F.col(m)
+        own, every = F.array(F.pmod(F.xxhash64(*left.columns), F.col(cuts))), F.sequence(F.lit(0).cast("long"), F.col(cuts) - 1)
+        of_right = F.array(F.pmod(F.xxhash64(*right.columns), F.col(cuts)))
+        at = F.when(larger, own).otherwise(every), F.when(larger, every).otherwise(of_right)
+        sides = [side.join(sizes, keys).withColumn(cut, F.explode(x)).drop(n, m, cuts) for side, x in zip(sides, at, strict=True)]
+        keys = [*keys, cut]
+    if tasks > 1:
+        sides = [side.repartition(tasks, *keys) for side in sides]
+    return sides[0].join(sides[1], keys).select(*left.columns, *right.columns)
+
+
 def score_matrix(queries: DataFrame, choices: DataFrame, scorer: Scorer, text: str = "text", position: str = "i", threshold: float | None = None, into: str = "f64", score_multiplier: float = 1.0, normalize=None) -> DataFrame:
     """``(row, col, score)`` of all pairs, which is what a matrix is.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.expressions import let
 from ..functions.metrics import DISTANCE, SIMILARITY, Metric, element_score, kernel_column, priced
 from ..plans import thresholds as T
 from ..plans.bounds import edits
@@ -59,22 +60,24 @@ class Scorer:
         return score
 
     def column(self, left: Column, right: Column, threshold: float | None = None, once: bool = False) -> Column:
-        """A column of scores; with a threshold, null where it isn't met. ``once``: see ``kernel_column``."""
+        """A column of scores; with a threshold, null where it isn't met. ``once``: see ``kernel_column``; it holds for scores without Python too."""
         threshold = T.checked(threshold)
         if T.impossible(self.direction, self.bounds, threshold):
             return F.lit(None).cast("double")
-        found = None
+        needless = T.needless(self.direction, self.bounds, threshold)
+        within = lambda score: F.when(T.qualifies(self.direction, score, threshold), score)
         if self.metric is not None and self.metric.native is not None:
-            allowed = None if threshold is None or T.needless(self.direction, self.bounds, threshold) else edits(self.name, dict(self.config), threshold)
-            within = {} if allowed is None else {"most": allowed.most(F.length(left), F.length(right))}
-            found = self.metric.native(left, right, **within, **dict(self.config))
+            allowed = None if threshold is None or needless else edits(self.name, dict(self.config), threshold)
+            most = {} if allowed is None else {"most": allowed.most(F.length(left), F.length(right))}
+            found = self.metric.native(left, right, **most, **dict(self.config))
             if found is not None:
                 absent = F.lit(self._missing_score) if self._missing_score is not None else F.raise_error(F.lit("an operand is missing")).cast("double")
                 found = F.when(left.isNull() | right.isNull(), absent).otherwise(found)
-        if found is None:
-            kernel, config = (self.metric.kernel, dict(self.config)) if self.metric is not None else (lambda a, b: self._within(self.function(a, b)), {})
-            found = kernel_column(kernel, config, left, right, self._missing_score, once, self.metric and self.metric.batch(config))
-        return found if T.needless(self.direction, self.bounds, threshold) else F.when(T.qualifies(self.direction, found, threshold), found)
+                found = found if needless else let(found, within)
+                return F.when(F.spark_partition_id() >= 0, found) if once else found  # no filter passes what depends on the partition
+        kernel, config = (self.metric.kernel, dict(self.config)) if self.metric is not None else (lambda a, b: self._within(self.function(a, b)), {})
+        found = kernel_column(kernel, config, left, right, self._missing_score, once, self.metric and self.metric.batch(config))
+        return found if needless else within(found)
 
     def explain(self, left, right) -> dict:
         """Evidence for a Tversky score of single elements; ``first_index`` counts code points."""

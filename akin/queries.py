@@ -621,10 +621,11 @@ def b_pairs(spark, sf_dir):
 )
 def r_records(spark, sf_dir):
     """Blocked by nation and by the names' ends, then one scorer and threshold a field."""
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    block = (c["c_nationkey"] == s["s_nationkey"]) & (F.right("c_name", F.lit(2)) == F.right("s_name", F.lit(2)))
-    apart = create_scorer(M.levenshtein.distance).column(F.col("c_name"), F.col("s_name"), 9)
-    return c.join(s, block).withColumn("apart", apart).where("apart is not null").select("c_custkey", "s_suppkey", "apart")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    block = [(F.col("c_nationkey"), F.col("s_nationkey")), (F.right("c_name", F.lit(2)), F.right("s_name", F.lit(2)))]
+    apart = create_scorer(M.levenshtein.distance).column(F.col("c_name"), F.col("s_name"), 9, once=True)
+    return B.blocked_pairs(c, s, block).withColumn("apart", apart).where("apart is not null").select("c_custkey", "s_suppkey", "apart")
 
 
 def _length_share(a, b) -> float:

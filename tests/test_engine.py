@@ -172,6 +172,36 @@ def test_rare_grams_lose_nothing(spark, family, options, threshold):
         assert held < index.postings.where("gram = 'aa'").count() / 2
 
 
+def test_blocked_records(spark, tmp_path, monkeypatch):
+    """One small file a side, and one block that holds most rows: many tasks share it, no pair is lost, and its distance is worked out once."""
+    from akin import queries
+
+    rng = random.Random(31)
+    name = lambda: "".join(rng.choices("abc", k=rng.randint(0, 13))) + rng.choice(["xy", "xy", "xy", "é", "", "ab"])
+    c = [(i, rng.choice([None, name(), "copyxy"]), rng.choice([1, 1, 1, 2, None])) for i in range(300)]
+    s = [(i, rng.choice([None, name(), "copyxy"]), rng.choice([1, 1, 1, 2, 3, None])) for i in range(80)]
+    spark.createDataFrame(c, "c_custkey long, c_name string, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(s, "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    want = sorted((i, j, float(d)) for i, x, k in c for j, y, n in s if None not in (x, y, k) and k == n and x[-2:] == y[-2:] and (d := K.levenshtein(x, y, (1, 1, 1))) <= 9)
+    for most in (1 << 18, 40):
+        monkeypatch.setattr(B, "BLOCK_PAIRS", most, raising=False)
+        found = queries.r_records(spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == want and want
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("levenshtein(") == 1
+    held = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(held) > 16 and max(held) < len(want) / 8
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_blocked_pairs_cut_either_side(spark, monkeypatch, most):
+    monkeypatch.setattr(B, "BLOCK_PAIRS", most)
+    left = spark.createDataFrame([(i, k) for i, k in enumerate("aaaaaaaaabbbc")] + [(13, None)], "i long, k string")
+    right = spark.createDataFrame([(j, k) for j, k in enumerate("aabbbbbbbbbbd")] + [(13, None)], "j long, n string")
+    want = sorted((i, j) for i, k in left.collect() for j, n in right.collect() if k is not None and k == n)
+    assert sorted((r.i, r.j) for r in B.blocked_pairs(left, right, [(F.col("k"), F.col("n"))]).collect()) == want
+    assert B.blocked_pairs(left, right.where("n = 'd'"), [(F.col("k"), F.col("n"))]).collect() == []
+
+
 def test_contained_token_sets_of_any_size(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
